@@ -17,12 +17,13 @@ def running_sum(df: DataFrame, value: str, order: list[str], bucket: Column, gro
     keyed = df.withColumn("_bucket", bucket)
     sums = keyed.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    keys = [*group, "_bucket"]
+    sums = sums.select(*(F.col(k).alias(f"_{k}_of") for k in keys), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     on = None
-    for key in [*group, "_bucket"]:
-        same = keyed[key].eqNullSafe(sums[key])
+    for key in keys:
+        same = F.col(key).eqNullSafe(F.col(f"_{key}_of"))
         on = same if on is None else on & same
-    joined = keyed.join(sums, on).select(*(keyed[c] for c in keyed.columns), sums["_before"])
+    joined = keyed.join(sums, on).drop(*(f"_{k}_of" for k in keys))
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     return joined.withColumn(out, F.sum(value).over(inside) + F.col("_before")).drop("_bucket", "_before")
 
