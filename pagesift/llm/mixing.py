@@ -65,15 +65,16 @@ def targets(sources: DataFrame, budget: float | None = None, epochs: int = EPOCH
 
 def cutoffs(sized: DataFrame, planned: DataFrame, budget: int, epochs: int = EPOCHS) -> DataFrame:
     """Add ``last_epoch`` and ``last_key`` to each source: its last copy in the mix (null: none)."""
-    copies = sized.where("size > 0").join(F.broadcast(planned) if planned.count() <= 100_000 else planned, sized["source"].eqNullSafe(planned["source"])).select(
-        "doc_id", sized["source"], "size", "target", F.explode(F.sequence(F.lit(1), F.least(F.lit(epochs), F.ceil(F.col("target") / F.col("source_size")).cast("int") + 1))).alias("epoch")
+    side = planned.select(F.col("source").alias("_source"), "source_size", "target")
+    copies = lookup_join(sized.where("size > 0"), side, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "source", "size", "target", F.explode(F.sequence(F.lit(1), F.least(F.lit(epochs), F.ceil(F.col("target") / F.col("source_size")).cast("int") + 1))).alias("epoch")
     ).where("target > 0")
     copies = copies.withColumn("key", order_key(F.col("epoch")))
     rows = copies.count()
     pieces = min(4096, max(1, -(-rows // PIECE)))
     spread = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * pieces / 65536)
     queued = running_sum(copies, "size", ["epoch", "key"], F.col("epoch") * pieces + spread, ["source"], "queued")
-    timed = queued.withColumn("finish", F.col("queued") / F.col("target"))
+    timed = materialize(queued.withColumn("finish", F.col("queued") / F.col("target")), "queued")
     mixed = running_sum(timed, "size", ["finish", "source", "epoch", "key"], F.floor(F.least(F.col("finish"), F.lit(8.0)) * max(pieces, 16)), [], "mixed")
     last = mixed.where(F.col("mixed") <= budget).groupBy("source").agg(F.max(F.struct("epoch", "key")).alias("last"))
     joined = planned.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
