@@ -1,8 +1,7 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import basic, reports  # noqa: F401
+from .registry import ORACLES, QUERIES
+from .reports import flagship
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
