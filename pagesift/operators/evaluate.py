@@ -77,7 +77,7 @@ def packet_table(scored: DataFrame, thr: float = 0.5, group: str = "permit_num")
 def packet_summary(scored: DataFrame, thr: float = 0.5, group: str = "permit_num") -> DataFrame:
     """One row: groups, groups with a finish page, groups that lose none."""
     each = scored.groupBy(group).agg(F.count_if("finish").alias("n"), F.count_if(F.col("finish") & at(thr)).alias("c"))
-    return each.agg(F.count("*").alias("packets"), F.count_if("n > 0").alias("finish_packets"), F.count_if("n > 0 AND n = c").alias("full_packets"))
+    return each.agg(F.count("*").alias("packets"), F.count_if(F.col("n") > 0).alias("finish_packets"), F.count_if((F.col("n") > 0) & (F.col("n") == F.col("c"))).alias("full_packets"))
 
 
 def misses(scored: DataFrame, thr: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import l2_normalize
@@ -36,7 +37,6 @@ class Tfidf:
 
     def vectors(self, docs: DataFrame, size: int) -> DataFrame:
         """One sparse vector of ``size`` for each row of ``docs``; zero without known terms."""
-        from pyspark.ml.functions import array_to_vector  # noqa: F401
         from pyspark.ml.linalg import SparseVector, VectorUDT
 
         long = self.transform(docs).groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), "tfidf"))).alias("cells"))
@@ -72,8 +72,6 @@ class Svd:
 
     def transform(self, df: DataFrame, features="features", out="svd") -> DataFrame:
         """Add the projection of each row as an array of doubles."""
-        import pandas as pd
-
         sent = df.sparkSession.sparkContext.broadcast(self.v)
 
         @F.pandas_udf("array<double>")
@@ -107,7 +105,7 @@ def hstack_sparse(df: DataFrame, *vectors: str, out="features") -> DataFrame:
     """Vector columns side by side, sparse where they are."""
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=list(vectors), outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=list(vectors), outputCol=out).transform(df)
 
 
 def column_stats(df: DataFrame, vector="embedding") -> DataFrame:
@@ -151,7 +149,6 @@ def embed(df: DataFrame, encoder, backbone: str, batch_size: int = 64, key="page
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         for pdf in batches:
             for i in range(0, len(pdf), batch_size):
