@@ -65,7 +65,9 @@ def links(prints: DataFrame) -> DataFrame:
     one another, so no component is split and no pairs of a group are emitted beyond those.
     """
     variants = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    met = prints.select("fp").distinct().select("fp", F.explode(variants).alias("variant"))
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("fp").distinct().repartition(spread, "fp")  # 65 rows come out of each
+    met = distinct.select("fp", F.explode(variants).alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
     pairs = met.select("fp", least.alias("a")).where("fp > a").select("a", F.col("fp").alias("b")).distinct()
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
