@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,8 +18,8 @@ from ..plans.storage import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-#: Entries a worker's cache of encoded units holds; it is emptied when full.
-CACHE = 400_000
+#: Entries a worker's cache of encoded units holds; when full it keeps the half learnt first, which has the frequent ones.
+CACHE = 300_000
 LONGEST = 64
 #: What Parquet is told: row groups of 64 MB, pages of 1 MB or 20,000 rows, dictionary for ids, column indexes.
 PARQUET = {
@@ -45,18 +47,29 @@ class Encoder:
     def __init__(self, file: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(file).encode_batch
+        model = Tokenizer.from_file(file)
+        self.encode_one = lambda text: model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.special = [t.content for t in model.get_added_tokens_decoder().values()]
+        (self.line_end,) = self.encode_one("\n")
         self.spaced: dict[str, bytes] = {}  # bare word -> ids of " " + word
         self.bare: dict[str, bytes] = {}
         self.most = most
 
     def _learn(self, cache: dict, new: list[str], lead: str) -> None:
+        """Encode units: those without a line end or special text all together, cut apart at the id of the line end."""
         import numpy as np
 
-        if len(cache) > self.most:
-            cache.clear()
-        for unit, e in zip(new, self.encode_batch([lead + u for u in new], add_special_tokens=False)):
-            cache[unit] = np.array(e.ids, "<u4").tobytes()
+        joint = [u for u in new if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace() and not any(x in u for x in self.special)]
+        for i in range(0, len(joint), 5000):
+            part = joint[i : i + 5000]
+            ids = np.array(self.encode_one("\n".join([lead + u for u in part])), "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.line_end)).tolist(), 4 * len(ids)]
+            data, at = ids.tobytes(), 0
+            for unit, end in zip(part, ends, strict=True):
+                cache[unit] = data[at:end]
+                at = end + 4
+        for unit in set(new).difference(joint):
+            cache[unit] = np.array(self.encode_one(lead + unit), "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without an end id."""
@@ -76,7 +89,9 @@ class Encoder:
                 bare.update(units)
         for cache, wanted, lead in ((self.spaced, spaced, " "), (self.bare, bare, "")):
             if len(cache) + len(wanted) > self.most:
+                kept = list(islice(cache.items(), self.most // 2))
                 cache.clear()
+                cache.update(kept)
             if new := [u for u in wanted if u not in cache]:
                 self._learn(cache, new, lead)
         after, first, out = self.spaced.__getitem__, self.bare.__getitem__, []
@@ -86,12 +101,19 @@ class Encoder:
                 out.append(end.join(first(words[0]) + b"".join(map(after, words[1:])) for words in parts))
             else:
                 out.append(b"".join(map(first, parts)))
-        for cache in (self.spaced, self.bare):
-            for unit in [u for u in cache if len(u) > LONGEST]:
-                del cache[unit]
+        for cache, wanted in ((self.spaced, spaced), (self.bare, bare)):
+            for unit in wanted:
+                if len(unit) > LONGEST:
+                    cache.pop(unit, None)
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(file: str) -> Encoder:
+    """The worker's encoder, whose cache outlives a task."""
+    return Encoder(file)
+
+
 def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: int = END, files: int | None = None) -> None:
     """Encode ``doc_id, text`` rows and write them to ``path`` in ascending doc_id order.
 
@@ -112,10 +134,10 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard, at, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer_file)
+        shard, at, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer_file)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for some in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for some in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 ids = [x + last for x in encoder.encode(some.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
