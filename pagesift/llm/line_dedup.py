@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import lookup_join, materialize
 from .common import WORD
 
 #: Entries of the table of word frequencies: words are hashed to them.
@@ -27,26 +27,35 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.where(F.col("line").rlike(WORD))
 
 
+def _spaced(text: Column, blanks: str = "\t\x0b\x0c\r") -> Column:
+    """The text with other blanks as spaces; texts without any, nearly all, are only searched."""
+    has = F.lit(False)
+    for b in blanks:
+        has = has | F.contains(text, F.lit(b))
+    return F.when(has, F.translate(text, blanks, " " * len(blanks))).otherwise(text)
+
+
 def word_hashes(line: Column) -> Column:
     """The distinct words of a line as 64-bit hashes."""
-    words = F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
+    words = F.array_remove(F.split(F.lower(_spaced(line)), " "), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def line_key() -> list[Column]:
     """Two independent hashes of a line, 128 bits together."""
-    bare = F.trim(F.translate("line", "\t\x0b\x0c\r", "    "))
+    bare = F.trim(_spaced(F.col("line")))
     return [F.xxhash64(bare).alias("k1"), F.xxhash64(F.lit(1), bare).alias("k2")]
 
 
-def frequency_table(cut: DataFrame, buckets: int = BUCKETS) -> bytes:
-    """One byte for each hash bucket of words: 4 log2(1 + occurrences in all lines), plus 1.
+def frequency_table(docs: DataFrame, buckets: int = BUCKETS) -> bytes:
+    """One byte for each hash bucket of words: 4 log2(1 + occurrences in all texts), plus 1.
 
-    Tasks send at most one count for each bucket; the table has a fixed size.
+    Tasks send at most one count for each bucket; the table has a fixed size. A word with capitals is counted by
+    itself, which only shifts the order of words.
     """
-    hashed = cut.select(F.explode(word_hashes(F.col("line"))).alias("h")).select(F.col("h").bitwiseAND(buckets - 1).alias("bucket"))
-    counts = hashed.groupBy("bucket").agg(F.count("*").alias("n"))
-    every = counts.union(cut.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n")))
+    words = docs.select(F.explode(F.split(_spaced(F.col("text"), "\n\t\x0b\x0c\r"), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).alias("bucket")).agg(F.count("*").alias("n"))
+    every = counts.union(docs.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n")))
     ranks = every.groupBy("bucket").agg(F.least(F.floor(4 * F.log2(1.0 + F.sum("n"))), F.lit(126)).alias("rank"))
     joined = ranks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "rank"))), lambda x: F.char(x["rank"] + 1)), "").alias("t"))
     return joined.first().t.encode("ascii")
@@ -65,19 +74,20 @@ def ordered_words(line: Column, table: bytes) -> Column:
 
 
 def representatives(cut: DataFrame, table: bytes) -> DataFrame:
-    """The first line of each class: ``doc_id, line_no, n`` (words), ``map`` (parity) and ``prefix`` (words to meet on)."""
+    """The first line of each class: ``doc_id, line_no, k1, k2, n`` (words), ``map`` (parity), ``prefix`` (words to meet on)."""
     keyed = cut.select("doc_id", "line_no", *line_key(), ordered_words(F.col("line"), table).alias("words"))
     n = F.size("words")
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
     prefix = F.slice("words", F.lit(1), n - F.ceil(n * 4 / F.lit(5)).cast("int") + 1)
     made = keyed.select("doc_id", "line_no", "k1", "k2", n.alias("n"), parity.alias("map"), prefix.alias("prefix"))
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc_id", "line_no"))
-    return made.withColumn("_r", first).where("_r = 1").drop("_r", "k1", "k2")
+    return made.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs of representatives ``(d1, l1, d2, l2)``, the first one earlier, that pass all filters."""
-    met = reps.select("doc_id", "line_no", "n", "map", F.posexplode("prefix").alias("i", "word"))
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = reps.select("doc_id", "line_no", "n", "map", F.posexplode("prefix").alias("i", "word")).repartition(parts, "word")  # dealt out once, for both sides
     a = met.select("word", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "line_no", "n", "map", "i")))
     b = met.select(F.col("word").alias("word2"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "map", "i")))
     need = F.expr("(4 * (n1 + n2) + 8) div 9")
@@ -91,14 +101,13 @@ def candidates(reps: DataFrame) -> DataFrame:
     return a.join(b, filters).select(F.col("doc_id1").alias("d1"), F.col("line_no1").alias("l1"), F.col("doc_id2").alias("d2"), F.col("line_no2").alias("l2")).distinct()
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """All pairs of different classes with a Jaccard similarity of 0.8 or more, by representatives: d1, l1, d2, l2."""
-    cut = lines(docs)
-    table = frequency_table(cut)
-    pairs = materialize(candidates(representatives(cut, table)), "candidates")
+    pairs = materialize(candidates(reps), "candidates")
     wanted = pairs.select(F.col("d1").alias("d"), F.col("l1").alias("l")).union(pairs.select("d2", "l2")).groupBy("d").agg(F.collect_set("l").alias("ls"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", F.explode("ls").alias("line_no"), F.split("text", "\n").alias("all"))
-    words = materialize(texts.select("doc_id", "line_no", word_hashes(F.element_at("all", F.col("line_no") + 1)).alias("words")).dropDuplicates(["doc_id", "line_no"]), "lines")
+    texts = lookup_join(docs.select("doc_id", "text"), materialize(wanted, "wanted"), F.col("doc_id") == F.col("d"), max_rows=500_000)
+    lined = texts.select("doc_id", F.explode("ls").alias("line_no"), F.split("text", "\n").alias("all"))
+    words = materialize(lined.select("doc_id", "line_no", word_hashes(F.get("all", F.col("line_no"))).alias("words")).dropDuplicates(["doc_id", "line_no"]), "lines")
     one = words.select(F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("words").alias("w1"))
     two = words.select(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("words").alias("w2"))
     both = pairs.join(one, ["d1", "l1"]).join(two, ["d2", "l2"])
@@ -107,18 +116,16 @@ def links(docs: DataFrame) -> DataFrame:
 
 def judged_lines(docs: DataFrame) -> DataFrame:
     """Each line with a word: ``doc_id, line_no, n_links`` (similar classes) and ``removed``."""
-    found = materialize(links(docs), "links")
+    cut = lines(docs)
+    reps = materialize(representatives(cut, frequency_table(docs)), "representatives")
+    found = materialize(links(docs, reps), "links")
     ends = found.select(F.col("d1").alias("d"), F.col("l1").alias("l"), F.lit(False).alias("later")).union(found.select("d2", "l2", F.lit(True)))
     linked = ends.groupBy("d", "l").agg(F.count("*").alias("n_links"), F.bool_or("later").alias("later"))
-    keyed = lines(docs).select("doc_id", "line_no", *line_key())
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")
-    firsts = keyed.groupBy("k1", "k2").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count("*").alias("n"))
-    span = F.lit(1 << 31).cast("decimal(11,0)")
-    firsts = firsts.select("k1", "k2", "n", F.floor(F.col("place") / span).cast("long").alias("d"), F.pmod("place", span.cast("decimal(38,0)")).cast("int").alias("l"))
-    classes = materialize(firsts.join(linked, ["d", "l"], "left").where("n > 1 OR n_links IS NOT NULL"), "classes")
-    out = keyed.join(classes, ["k1", "k2"], "left")
+    firsts = reps.select("k1", "k2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    classes = materialize(firsts.join(linked, ["d", "l"], "left"), "classes")
+    out = cut.select("doc_id", "line_no", *line_key()).join(classes, ["k1", "k2"])
     again = (F.col("d") != F.col("doc_id")) | (F.col("l") != F.col("line_no"))
-    return out.select("doc_id", "line_no", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.coalesce(again, F.lit(False)) | F.coalesce("later", F.lit(False))).alias("removed"))
+    return out.select("doc_id", "line_no", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (again | F.coalesce("later", F.lit(False))).alias("removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
