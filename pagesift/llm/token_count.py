@@ -14,6 +14,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..plans.storage import materialize
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Entries of the broadcast table (about 3 MB) and of each task's summary.
@@ -76,8 +78,10 @@ def frequent_units(docs: DataFrame, most: int = FREQUENT) -> list[str]:
         top = [(u, n) for u, n in seen.most_common(most) if len(u) <= LONGEST and n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
 
-    counts = docs.select("text").mapInArrow(summarize, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return [r.unit for r in counts.orderBy(F.desc("n"), "unit").limit(most).select("unit").collect()]
+    counts = materialize(docs.select("text").mapInArrow(summarize, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "units")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where(F.col("n") * (10 * most) >= total)  # at most ten times ``most`` rows, whatever the corpus
+    return [r.unit for r in often.orderBy(F.desc("n"), "unit").limit(most).select("unit").collect()]
 
 
 def with_counts(docs: DataFrame, model_file: str | None = None, frequent: int = FREQUENT) -> DataFrame:
