@@ -19,7 +19,7 @@ SEED = 42
 #: No document is taken more often.
 EPOCHS = 3
 #: Copies meant for one piece of a running sum.
-PIECE = 20_000
+PIECE = 5_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -75,7 +75,7 @@ def cutoffs(sized: DataFrame, planned: DataFrame, budget: int, epochs: int = EPO
     spread = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * pieces / 65536)
     queued = running_sum(copies, "size", ["epoch", "key"], F.col("epoch") * pieces + spread, ["source"], "queued")
     timed = materialize(queued.withColumn("finish", F.col("queued") / F.col("target")), "queued")
-    mixed = running_sum(timed, "size", ["finish", "source", "epoch", "key"], F.floor(F.least(F.col("finish"), F.lit(8.0)) * max(pieces, 16)), [], "mixed")
+    mixed = running_sum(timed, "size", ["finish", "source", "epoch", "key"], F.floor(F.least(F.col("finish"), F.lit(8.0)) * max(4 * pieces, 256)), [], "mixed")
     last = mixed.where(F.col("mixed") <= budget).groupBy("source").agg(F.max(F.struct("epoch", "key")).alias("last"))
     joined = planned.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     return joined.select(*planned.columns, F.col("last.epoch").alias("last_epoch"), F.col("last.key").alias("last_key"))
