@@ -21,6 +21,8 @@ END = 0
 #: Entries a worker's cache of encoded units holds; when full it keeps the half learnt first, which has the frequent ones.
 CACHE = 300_000
 LONGEST = 64
+#: Marks that may end a word; none is a letter or digit.
+MARKS = ".,;:!?#*$%&|<>()[]\"'-"
 #: What Parquet is told: row groups of 64 MB, pages of 1 MB or 20,000 rows, dictionary for ids, column indexes.
 PARQUET = {
     "parquet.block.size": str(64 << 20),
@@ -53,13 +55,19 @@ class Encoder:
         (self.line_end,) = self.encode_one("\n")
         self.spaced: dict[str, bytes] = {}  # bare word -> ids of " " + word
         self.bare: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.most = most
 
     def _learn(self, cache: dict, new: list[str], lead: str) -> None:
         """Encode units: those without a line end or special text all together, cut apart at the id of the line end."""
         import numpy as np
 
-        joint = [u for u in new if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace() and not any(x in u for x in self.special)]
+        plain = [u for u in new if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace() and not any(x in u for x in self.special)]
+        # letters and the marks after them are always different tokens, so "word," is "word" and ","
+        cut = {u: stem for u in plain if (stem := u.rstrip(MARKS)) != u and stem and stem[-1].isalpha()}
+        stems = {s for s in cut.values() if s not in cache}
+        tails = {u[len(s) :] for u, s in cut.items()}
+        joint = list(stems.union(u for u in plain if u not in cut))
         for i in range(0, len(joint), 5000):
             part = joint[i : i + 5000]
             ids = np.array(self.encode_one("\n".join([lead + u for u in part])), "<u4")
@@ -68,7 +76,12 @@ class Encoder:
             for unit, end in zip(part, ends, strict=True):
                 cache[unit] = data[at:end]
                 at = end + 4
-        for unit in set(new).difference(joint):
+        if tails := [t for t in tails if t not in self.tails]:
+            for t in tails:
+                self.tails[t] = np.array(self.encode_one(t), "<u4").tobytes()
+        for unit, stem in cut.items():
+            cache[unit] = cache[stem] + self.tails[unit[len(stem) :]]
+        for unit in set(new).difference(plain):
             cache[unit] = np.array(self.encode_one(lead + unit), "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -88,6 +101,8 @@ class Encoder:
                 lines.append(units)
                 bare.update(units)
         for cache, wanted, lead in ((self.spaced, spaced, " "), (self.bare, bare, "")):
+            if len(self.tails) > 10_000:
+                self.tails.clear()
             if len(cache) + len(wanted) > self.most:
                 kept = list(islice(cache.items(), self.most // 2))
                 cache.clear()
