@@ -19,6 +19,8 @@ from .common import WORD
 #: Entries of the table of word frequencies: words are hashed to them.
 BUCKETS = 1 << 18
 _LOW = (1 << 56) - 1
+#: Lines of more words get a second parity map, as they fill the first.
+FULL = 40
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -73,13 +75,19 @@ def ordered_words(line: Column, table: bytes) -> Column:
     return F.sort_array(F.transform(word_hashes(line), key))
 
 
+def _parity(shift: int) -> Column:
+    """64 bits, each the parity of the number of words whose hash has its place in six bits from ``shift``."""
+    one = F.lit(1).cast("long")
+    return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(w, shift).bitwiseAND(63).cast("int"))))
+
+
 def representatives(cut: DataFrame, table: bytes) -> DataFrame:
-    """The first line of each class: ``doc_id, line_no, k1, k2, n`` (words), ``map`` (parity), ``prefix`` (words to meet on)."""
+    """The first line of each class: ``doc_id, line_no, k1, k2, n`` (words), ``map`` and ``wide`` (parity), ``prefix`` (words to meet on)."""
     keyed = cut.select("doc_id", "line_no", *line_key(), ordered_words(F.col("line"), table).alias("words"))
     n = F.size("words")
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
     prefix = F.slice("words", F.lit(1), n - F.ceil(n * 4 / F.lit(5)).cast("int") + 1)
-    made = keyed.select("doc_id", "line_no", "k1", "k2", n.alias("n"), parity.alias("map"), prefix.alias("prefix"))
+    short = F.transform(prefix, lambda w: w.bitwiseAND((1 << 31) - 1).cast("int"))  # equal words stay equal; verification comes last
+    made = keyed.select("doc_id", "line_no", "k1", "k2", n.alias("n"), _parity(0).alias("map"), F.when(n > FULL, _parity(6)).otherwise(F.lit(0)).alias("wide"), short.alias("prefix"))
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc_id", "line_no"))
     return made.withColumn("_r", first).where("_r = 1").drop("_r")
 
@@ -87,9 +95,9 @@ def representatives(cut: DataFrame, table: bytes) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs of representatives ``(d1, l1, d2, l2)``, the first one earlier, that pass all filters."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = reps.select("doc_id", "line_no", "n", "map", F.posexplode("prefix").alias("i", "word")).repartition(parts, "word")  # dealt out once, for both sides
-    a = met.select("word", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "line_no", "n", "map", "i")))
-    b = met.select(F.col("word").alias("word2"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "map", "i")))
+    met = reps.select("doc_id", "line_no", "n", "map", "wide", F.posexplode("prefix").alias("i", "word")).repartition(parts, "word")  # dealt out once, for both sides
+    a = met.select("word", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "line_no", "n", "map", "wide", "i")))
+    b = met.select(F.col("word").alias("word2"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "map", "wide", "i")))
     need = F.expr("(4 * (n1 + n2) + 8) div 9")
     filters = (
         (F.col("word") == F.col("word2"))
@@ -97,6 +105,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         & (4 * F.col("n1") <= 5 * F.col("n2")) & (4 * F.col("n2") <= 5 * F.col("n1"))
         & (F.least("i1", "i2") + 1 + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) - 1 >= need)
         & (F.bit_count(F.col("map1").bitwiseXOR(F.col("map2"))) <= F.col("n1") + F.col("n2") - 2 * need)
+        & ((F.least("n1", "n2") <= FULL) | (F.bit_count(F.col("wide1").bitwiseXOR(F.col("wide2"))) <= F.col("n1") + F.col("n2") - 2 * need))
     )
     return a.join(b, filters).select(F.col("doc_id1").alias("d1"), F.col("line_no1").alias("l1"), F.col("doc_id2").alias("d2"), F.col("line_no2").alias("l2")).distinct()
 
