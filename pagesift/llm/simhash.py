@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..operators.graph import connected_components
-from ..plans.storage import materialize
+from ..plans.storage import lookup_join, materialize
 from .common import as_bytes
 
 SEED = 42
@@ -58,16 +58,21 @@ def fingerprint(text: Column | str, width: int = 3) -> Column:
     return compute(text)
 
 
+def _variants(fp: str) -> Column:
+    """A fingerprint and all that differ from it in one bit."""
+    one = F.lit(1).cast("long")
+    return F.concat(F.array(F.col(fp)), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col(fp).bitwiseXOR(F.call_function("shiftleft", one, i))))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Verified links ``(a, b, distance)`` that connect all distinct values of ``fp`` within distance 2.
 
     Of the fingerprints that meet on a variant each is tied to the smallest; all of them are within distance 2 of
     one another, so no component is split and no pairs of a group are emitted beyond those.
     """
-    variants = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = prints.select("fp").distinct().repartition(spread, "fp")  # 65 rows come out of each
-    met = distinct.select("fp", F.explode(variants).alias("variant"))
+    met = distinct.select("fp", F.explode(_variants("fp")).alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
     pairs = met.select("fp", least.alias("a")).where("fp > a").select("a", F.col("fp").alias("b")).distinct()
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -94,11 +99,101 @@ def report(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Keep one row of each component: that of its smallest doc_id. Rows with a null doc_id are kept.
+def _mixed(hashes, view: int):
+    """Other 64-bit hashes made from 64-bit hashes, one set for each view."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (view + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def views_of(text: bytes | None, count: int) -> tuple[bytes, list[int]]:
+    """(digest of the lower-case word sequence, ``count`` SimHashes of the set of words) of one UTF-8 text."""
+    import numpy as np
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    own = text.translate(_LOWER).split() if text else []
+    every = np.array([xxh64_intdigest(w, SEED) for w in set(own)], dtype="<u8")
+    out = []
+    for view in range(count):
+        bits, mixed = np.zeros(64, np.int64), _mixed(every, view)
+        for i in range(0, len(mixed), _BLOCK):
+            bits += np.unpackbits(mixed[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > len(every), bitorder="little").view("<i8")[0]))
+    return xxh3_128_digest(b" ".join(own)), out
+
+
+def _views(text: str, count: int) -> Column:
+    @arrow_udf("key binary, fps array<long>")
+    def compute(column):
+        import pyarrow as pa
+
+        keys, fps = zip(*(views_of(t, count) for t in as_bytes(column))) if len(column) else ((), ())
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "fps"])
+
+    return compute(text)
+
+
+def _shingles(text: str, width: int) -> Column:
+    """The distinct hashed word shingles of a text; the whole sequence where it is shorter, none without words."""
+
+    @arrow_udf("array<long>")
+    def compute(column):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
-    Repeated rows of the smallest doc_id all stay, as they cannot be told apart by id.
+        out = []
+        for text in as_bytes(column):
+            own = text.translate(_LOWER).split() if text else []
+            grams = {b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
+            out.append(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return compute(text)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 4) -> DataFrame:
+    """Rows ``(doc_id, component_id)``, one for each doc_id: near-duplicates by shingle similarity share a component.
+
+    A SimHash of shingles moves by many bits where the Jaccard similarity of five-word shingles is still 0.8, far
+    beyond a radius that can be emitted. So candidates come from ``views`` SimHashes over the set of words, which an
+    edit hardly moves, by the same ball hashing; each candidate pair is then verified exactly on its shingles.
+    Texts of equal words are one class. Of the fingerprints that meet on a variant, each is paired with the smallest
+    and with its neighbour in order, so pairs grow with the rows, not with the square of a group. Documents below
+    the similarity are never joined but through others. Rows with a null doc_id are left out.
+    """
+    seen = docs.where("doc_id IS NOT NULL").select("doc_id", _views("text", views).alias("v")).select("doc_id", "v.key", "v.fps")
+    seen = materialize(seen, "views")
+    classes = materialize(seen.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("fps").alias("fps")), "classes")
+    each = classes.select("rep", F.posexplode("fps").alias("view", "fp"))
+    firsts = materialize(each.groupBy("view", "fp").agg(F.min("rep").alias("first")), "firsts")
+    same = each.join(firsts, ["view", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = firsts.repartition(spread, "fp").select("view", "first", F.explode(_variants("fp")).alias("variant"))
+    by_variant = Window.partitionBy("view", "variant").orderBy("first")
+    paired = met.select("first", F.min("first").over(by_variant).alias("least"), F.lag("first").over(by_variant).alias("before"))
+    near = paired.where("first > least").select(F.explode(F.array("least", "before")).alias("a"), F.col("first").alias("b"))
+    pairs = materialize(same.union(near).where("a < b").distinct(), "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "wanted")
+    texts = lookup_join(docs.select("doc_id", "text"), wanted, F.col("doc_id") == F.col("d"), max_rows=1_000_000)
+    grams = materialize(texts.select("doc_id", _shingles("text", width).alias("g")).dropDuplicates(["doc_id"]), "shingles")
+    both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    good = both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+    tied = connected_components(good, "a", "b")
+    named = materialize(classes.join(tied, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
+    return seen.join(named, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Keep one document of each group of ``near_duplicates``: that of its smallest doc_id.
+
+    Rows with a null doc_id are kept; repeated rows of a kept doc_id all stay, as they cannot be told apart by id.
     """
-    found = components(docs.select("doc_id", "text"), width)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    found = near_duplicates(docs.select("doc_id", "text"), width, similarity)
+    gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
