@@ -106,7 +106,7 @@ def _searching(spark, items: list[tuple[str, bytes]], window: int):
             names=["n_words", "n_hit", "starts", "ends", "items"],
         )
 
-    return search
+    return search.asNondeterministic()  # so that no rewrite evaluates it more than once
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
