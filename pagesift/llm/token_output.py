@@ -19,7 +19,7 @@ from ..plans.storage import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Entries a worker's cache of encoded units holds; when full it keeps the half learnt first, which has the frequent ones.
-CACHE = 300_000
+CACHE = 100_000
 LONGEST = 64
 #: Marks that may end a word; none is a letter or digit.
 MARKS = ".,;:!?#*$%&|<>()[]\"'-"
@@ -158,7 +158,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: in
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                del ids
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+            pa.default_memory_pool().release_unused()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = own.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
