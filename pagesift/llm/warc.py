@@ -61,16 +61,17 @@ def unescape(text: Column) -> Column:
         good = (code >= 32) & (code < 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(good, F.replace(acc, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(acc)
 
-    return F.replace(F.aggregate(refs, text, resolve), F.lit("&amp;"), F.lit("&"))
+    numbered = F.when(F.contains(text, F.lit("&#")), F.aggregate(refs, text, resolve)).otherwise(text)
+    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
 
 
 def visible_text(html: Column) -> Column:
     """The text of a page: hidden parts and tags removed, block tags as line ends, blanks single, no empty lines."""
     for pattern in HIDDEN:
         html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(F.regexp_replace(html, r"[\x20\x09-\x0D]+", " "), BREAKS, "\n")
+    html = F.regexp_replace(F.regexp_replace(html, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), BREAKS, "\n")
     text = unescape(F.regexp_replace(html, r"<[A-Za-z/!?][^>]*>", ""))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x20\x09]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x20\x09]{2,}|\x09", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def links(html: Column) -> Column:
