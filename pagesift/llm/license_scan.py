@@ -100,7 +100,7 @@ RULES = (
 )
 
 #: Every known sentence has one of these; other sentences are not looked at further.
-HINT = r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|rights reserved|cc0|creative commons|under cc |software|mpl"
+HINT = r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|rights reserved|cc0|creative commons|under cc |software|endorse|mpl"
 #: A line end before a capital letter ends a sentence: it is doubled, and CUT takes blank lines.
 CAPITAL = r"\n[\x20\x09-\x0D]*([A-Z])"
 #: Sentences end at . ! ? or ; before a blank, and at blank lines.
