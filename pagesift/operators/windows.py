@@ -37,12 +37,12 @@ def current_truth_maxby(labels: DataFrame, priority: dict[str, int] = PRIORITY,
 
 def view_truth(labels: DataFrame, key: str = "page_id", human: str = "human") -> DataFrame:
     """A human's label if there is one, else the most confident; ties go to the highest id."""
-    return best_per_key(labels, [key], F.desc(F.col("source") == human), F.desc_nulls_last("confidence"), F.desc("id"))
+    return best_per_key(labels, [key], F.coalesce(F.col("source") == human, F.lit(False)).desc(), F.desc_nulls_last("confidence"), F.desc("id"))
 
 
 def view_truth_join(labels: DataFrame, key: str = "page_id", human: str = "human") -> DataFrame:
     """The same by joining each label with its page's best rank, as a cross-check of the window."""
-    rank = F.when(F.col("source") == human, F.lit(2.0)).otherwise(F.coalesce("confidence", F.lit(-1.0)))
+    rank = F.when(F.col("source") == human, F.lit(2.0)).otherwise(F.coalesce("confidence", F.lit(-1.0)))  # a null source is no human
     ranked_ = labels.withColumn("_rank", rank)
     best = ranked_.groupBy(key).agg(F.max("_rank").alias("_best"))
     tied = ranked_.join(best, key).where("_rank = _best")
