@@ -16,6 +16,10 @@ from .common import as_bytes
 
 SEED = 42
 RADIUS = 2
+#: Shingles are counted into so many buckets to take rare ones first; the order changes the work, not the result.
+BUCKETS = 1 << 18
+#: Bits of the parity map by which pairs of sets that differ too much are told before their shingles are read.
+MAP_BITS = 1 << 10
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15
 
@@ -99,94 +103,142 @@ def report(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _mixed(hashes, view: int):
-    """Other 64-bit hashes made from 64-bit hashes, one set for each view."""
-    import numpy as np
-
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (view + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
+def _shingles(text: str, width: int) -> Column:
+    """(digest of the lower-case word sequence, its distinct hashed word shingles, their parity map) of a text.
 
-def views_of(text: bytes | None, count: int) -> tuple[bytes, list[int]]:
-    """(digest of the lower-case word sequence, ``count`` SimHashes of the set of words) of one UTF-8 text."""
-    import numpy as np
-    from xxhash import xxh3_128_digest, xxh64_intdigest
+    The whole sequence is the shingle where it is shorter; a text without words has none. A bit of the map tells
+    whether an odd number of shingles falls on it, so two maps differ in no more bits than the sets in shingles.
+    """
 
-    own = text.translate(_LOWER).split() if text else []
-    every = np.array([xxh64_intdigest(w, SEED) for w in set(own)], dtype="<u8")
-    out = []
-    for view in range(count):
-        bits, mixed = np.zeros(64, np.int64), _mixed(every, view)
-        for i in range(0, len(mixed), _BLOCK):
-            bits += np.unpackbits(mixed[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * bits > len(every), bitorder="little").view("<i8")[0]))
-    return xxh3_128_digest(b" ".join(own)), out
-
-
-def _views(text: str, count: int) -> Column:
-    @arrow_udf("key binary, fps array<long>")
+    @arrow_udf("key binary, grams array<long>, map array<long>")
     def compute(column):
+        import numpy as np
         import pyarrow as pa
-
-        keys, fps = zip(*(views_of(t, count) for t in as_bytes(column))) if len(column) else ((), ())
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "fps"])
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        def some(texts):
+            keys, out, maps = [], [], []
+            for text in texts:
+                own = text.translate(_LOWER).split() if text else []
+                grams = {b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
+                keys.append(xxh3_128_digest(b" ".join(own)))
+                out.append(np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64)).view(np.int64))
+                odd = np.bincount(out[-1] >> 32 & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            lists = pa.list_(pa.int64())
+            return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(out, lists), pa.array(maps, lists)], names=["key", "grams", "map"])
+
+        # in short pieces, and unused memory is given back: workers live on into later stages
+        made = pa.concat_arrays([some(as_bytes(column.slice(i, 256))) for i in range(0, max(1, len(column)), 256)])
+        pa.default_memory_pool().release_unused()
+        return made
 
     return compute(text)
 
 
-def _shingles(text: str, width: int) -> Column:
-    """The distinct hashed word shingles of a text; the whole sequence where it is shorter, none without words."""
+def _bucket_counts(grams: DataFrame):
+    """Shingles counted into a table of fixed size by their low bits."""
+    import numpy as np
+
+    found = grams.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).alias("b")).count().toArrow()
+    counts = np.zeros(BUCKETS, np.int32)
+    counts[found["b"].to_numpy()] = np.minimum(found["count"].to_numpy(), (1 << 31) - 1)
+    return counts
+
+
+def _prefix(grams: str, counts, similarity: float) -> Column:
+    """The rarest shingles of each set, as many as must hold one that any set of that similarity has in its own."""
 
     @arrow_udf("array<long>")
     def compute(column):
+        import math
+
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
-        out = []
-        for text in as_bytes(column):
-            own = text.translate(_LOWER).split() if text else []
-            grams = {b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
-            out.append(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        def some(sets):
+            out = []
+            for own in sets.to_numpy(zero_copy_only=False):
+                take = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
+                out.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[:take]])
+            return pa.array(out, pa.list_(pa.int64()))
 
-    return compute(text)
+        made = pa.concat_arrays([some(column.slice(i, 256)) for i in range(0, max(1, len(column)), 256)])
+        pa.default_memory_pool().release_unused()
+        return made
+
+    return compute(grams)
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of rows whose sizes and parity maps leave the similarity possible."""
+    named = lambda x: maps.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
+    both = lookup_join(lookup_join(pairs, named("a"), "a"), named("b"), "b")
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
+    return both.where(sized & (apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 4) -> DataFrame:
+def _verified(pairs: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of rows whose shingle sets have the similarity."""
+    wanted = materialize(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "wanted")
+    grams = materialize(lookup_join(seen.select("row", "grams"), wanted, F.col("row") == F.col("d"), max_rows=1_000_000).select("row", "grams"), "grams")
+    both = pairs.join(grams.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return materialize(both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b"), "good")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows ``(doc_id, component_id)``, one for each doc_id: near-duplicates by shingle similarity share a component.
 
     A SimHash of shingles moves by many bits where the Jaccard similarity of five-word shingles is still 0.8, far
-    beyond a radius that can be emitted. So candidates come from ``views`` SimHashes over the set of words, which an
-    edit hardly moves, by the same ball hashing; each candidate pair is then verified exactly on its shingles.
-    Texts of equal words are one class. Of the fingerprints that meet on a variant, each is paired with the smallest
-    and with its neighbour in order, so pairs grow with the rows, not with the square of a group. Documents below
-    the similarity are never joined but through others. Rows with a null doc_id are left out.
+    beyond a radius that can be emitted. So this is an exact set-similarity join: two sets of that similarity share
+    one of their rarest shingles, whose number is fixed by the size, and every pair that does is either already
+    connected or verified, unless sizes or parity maps rule it out. Texts of equal words are one class. Classes that
+    share a shingle are first tied to the smallest of them; then only pairs between different components are tried, so a large group of near copies is
+    not expanded into its pairs. Documents below the similarity are never joined but through others. Rows with a
+    null doc_id are left out.
     """
-    seen = docs.where("doc_id IS NOT NULL").select("doc_id", _views("text", views).alias("v")).select("doc_id", "v.key", "v.fps")
-    seen = materialize(seen, "views")
-    classes = materialize(seen.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("fps").alias("fps")), "classes")
-    each = classes.select("rep", F.posexplode("fps").alias("view", "fp"))
-    firsts = materialize(each.groupBy("view", "fp").agg(F.min("rep").alias("first")), "firsts")
-    same = each.join(firsts, ["view", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = firsts.repartition(spread, "fp").select("view", "first", F.explode(_variants("fp")).alias("variant"))
-    by_variant = Window.partitionBy("view", "variant").orderBy("first")
-    paired = met.select("first", F.min("first").over(by_variant).alias("least"), F.lag("first").over(by_variant).alias("before"))
-    near = paired.where("first > least").select(F.explode(F.array("least", "before")).alias("a"), F.col("first").alias("b"))
-    pairs = materialize(same.union(near).where("a < b").distinct(), "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "wanted")
-    texts = lookup_join(docs.select("doc_id", "text"), wanted, F.col("doc_id") == F.col("d"), max_rows=1_000_000)
-    grams = materialize(texts.select("doc_id", _shingles("text", width).alias("g")).dropDuplicates(["doc_id"]), "shingles")
-    both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    good = both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
-    tied = connected_components(good, "a", "b")
-    named = materialize(classes.join(tied, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
-    return seen.join(named, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    seen = docs.where("doc_id IS NOT NULL").select("doc_id", _shingles("text", width).alias("v")).select("doc_id", "v.key", "v.grams", "v.map")
+    seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    least = F.min(F.struct("doc_id", "row")).alias("m")
+    classes = materialize(seen.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("node")), "classes")
+    prefixes = seen.select("row", F.size("grams").alias("n"), _prefix("grams", _bucket_counts(seen), similarity).alias("prefix"))
+    maps = materialize(seen.select("row", F.size("grams").alias("n"), "map"), "maps")
+    own = lookup_join(prefixes, classes.select("node"), F.col("row") == F.col("node"), max_rows=1_000_000)
+    by_gram = Window.partitionBy("g")
+    each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
+    live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
+    good = tried = None
+    for star in (True, True, False):
+        if star:
+            first = F.min(F.struct("comp", "node")).over(by_gram)
+            pairs = live.withColumn("_f", first).where("comp <> _f.comp").select(F.least("node", "_f.node").alias("a"), F.greatest("node", "_f.node").alias("b"))
+        else:
+            x, y = live.alias("x"), live.alias("y")
+            # at most this many shingles are shared, by size and by what stands before and after the common one
+            most = F.expr("least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)")
+            enough = most * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
+            pairs = x.join(y, F.expr("x.g = y.g AND x.node < y.node AND x.comp <> y.comp") & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = pairs.distinct()
+        pairs = _possible(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), maps, similarity)
+        if star:
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # the others are tried in the end
+        pairs = materialize(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _verified(pairs, seen, similarity)
+        good = found if good is None else good.union(found)
+        tied = connected_components(good, "a", "b")
+        if star:
+            renamed = live.drop("comp").join(tied, "node", "left")
+            renamed = renamed.withColumn("comp", F.coalesce("component", "node")).drop("component")
+            several = renamed.withColumn("_l", F.min("comp").over(by_gram)).withColumn("_m", F.max("comp").over(by_gram))
+            live = materialize(several.where("_l < _m").drop("_l", "_m"), "shared")
+    named = classes.join(tied, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
+    named = materialize(named, "named")
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    keys = materialize(named.join(ids, "component").select("key", "component_id"), "ids")
+    return seen.select("doc_id", "key").join(keys, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

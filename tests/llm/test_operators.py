@@ -363,6 +363,48 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [3, 7, 8] and kept.columns == frame.columns
 
 
+def plain_near(texts, width=5, similarity=0.8):
+    """Smallest index of each text's component of similar shingle sets, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (not sets[i] and not sets[j]) or (both and both >= similarity * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_between_members_that_are_not_first(spark):
+    words = prose(300, 41).split()
+    shuffled = list(words)
+    random.Random(3).shuffle(shuffled)
+    texts = [" ".join(shuffled), " ".join(words), " ".join([*words, words[-1]])]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts)).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r, texts = random.Random(8), list(ODD)
+    for g in range(20):  # chains of edits: members near to one another but not to the first
+        words = prose(r.randrange(5, 200), 800 + g).split()
+        for k in range(8):
+            texts.append(" ".join(words))
+            words[r.randrange(len(words))] = f"edit{r.randrange(9)}"
+    r.shuffle(texts)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_near(texts)
+
+
 def test_near_duplicates_are_verified_on_shingles(spark):
     r = random.Random(12)
     texts, group = [], []
