@@ -53,3 +53,19 @@ def test_stages_keep_columns(spark, tmp_path):
         out = stage(spark, frame, str(tmp_path))
         assert out.columns == frame.columns
         assert stage(spark, frame.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    def edited(seed, n):
+        words = prose(300, seed).split()
+        for i in range(n):  # each edit changes five shingles
+            words[20 * i + 10] = "edit"
+        return " ".join(words)
+
+    # 3, 5 and 6 edits leave a similarity of 0.90, 0.84 and 0.82; 8 leave 0.76
+    texts = [edited(900 + g, n) for g in range(6) for n in (0, 3, 5, 6)] + [edited(950 + g, n) for g in range(6) for n in (0, 8)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], BENCH).write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, frame, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {4 * g for g in range(6)} | set(range(24, 36))
