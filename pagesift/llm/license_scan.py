@@ -101,6 +101,10 @@ RULES = (
 
 #: Every known sentence has one of these; other sentences are not looked at further.
 HINT = r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|rights reserved|cc0|creative commons|under cc |software|endorse|mpl"
+#: As HINT, but for all ways to word a known sentence.
+SENTENCE_HINT = HINT + r"|under (?:the )?(?:terms of (?:the )?)?cc "
+#: Every text with a known sentence has one of these words, in any case and wherever its lines break.
+WORD_HINT = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public|reserved|cc0|commons|\bcc\b|software|endorse|mpl"
 #: A line end before a capital letter ends a sentence: it is doubled, and CUT takes blank lines.
 CAPITAL = r"\n[\x20\x09-\x0D]*([A-Z])"
 #: Sentences end at . ! ? or ; before a blank, and at blank lines.
@@ -114,9 +118,9 @@ def sentences(text: Column | str) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     cut = F.split(F.regexp_replace(text, CAPITAL, "\n\n$1"), CUT)
-    hinted = F.when(text.rlike(f"(?i){HINT}"), cut).otherwise(F.expr("cast(array() as array<string>)"))
+    hinted = F.when(text.rlike(WORD_HINT), cut).otherwise(F.expr("cast(array() as array<string>)"))
     numbered = F.transform(hinted, lambda s, i: F.struct(i.cast("long").alias("pos"), normalize(s).alias("sentence"), s.alias("raw")))
-    return F.filter(numbered, lambda s: s["sentence"].rlike(HINT))
+    return F.filter(numbered, lambda s: s["sentence"].rlike(SENTENCE_HINT))
 
 
 def normalize(s: Column) -> Column:

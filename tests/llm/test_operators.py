@@ -91,6 +91,20 @@ def test_license_hints_cover_all_sentences():
         assert hint.search(plain), name
 
 
+@pytest.mark.parametrize(
+    "text, ids",
+    [
+        ("This work is dedicated to the public\n * domain.", "public_domain"),
+        ("# all rights\n# reserved", "reserved"),
+        ("Released under the CC BY 4.0.", "ccby_by"),
+        ("Released under\nthe terms of the CC BY-SA 4.0", "ccbysa_by"),
+        ("available under the terms of\n// the creative\n// commons attribution 4.0", "ccby_by"),
+    ],
+)
+def test_license_hints_drop_no_wording(spark, text, ids):
+    assert license_scan.report(docs(spark, [text])).first().sentence_ids == ids
+
+
 def test_license_is_native(odd):
     plan = license_scan.report(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
