@@ -16,7 +16,11 @@ VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block string"
 
-#: What a browser does not show, with its content; then the tags that end a line.
+#: What a browser does not show, with its content. A tag's name ends before a blank, / or >: <header> is no <head>.
+UNSEEN = (r"(?s)<!--.*?-->", *(rf"(?is)<{t}(?:[\x20\x09-\x0D/][^>]*)?>.*?</{t}(?:[\x20\x09-\x0D/][^>]*)?>" for t in ("script", "style", "head", "noscript")))
+#: An anchor's href: in double or single quotes, or bare.
+HREF = r"(?i)<a(?:[\x20\x09-\x0D/][^>]*?)?[\x20\x09-\x0D/\x22']href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*(\x22[^\x22]*\x22|'[^']*'|[^\x20\x09-\x0D\x22'>][^\x20\x09-\x0D>]*)"
+#: The forms the SQL knows, which agree on pages without <header> and the like; then the tags that end a line.
 HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script[^>]*>.*?</script[^>]*>", r"(?is)<style[^>]*>.*?</style[^>]*>", r"(?is)<head[^>]*>.*?</head[^>]*>", r"(?is)<noscript[^>]*>.*?</noscript[^>]*>")
 BREAKS = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|nav|article|section|header|footer|aside|main|title|blockquote|pre|hr|body|html))(?:[\x20\x09-\x0D/][^>]*)?>"
 #: Character references that are resolved by name; others stay but for decimal and hexadecimal ones. &amp; goes last.
@@ -67,7 +71,7 @@ def unescape(text: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """The text of a page: hidden parts and tags removed, block tags as line ends, blanks single, no empty lines."""
-    for pattern in HIDDEN:
+    for pattern in UNSEEN:
         html = F.regexp_replace(html, pattern, " ")
     html = F.regexp_replace(F.regexp_replace(html, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), BREAKS, "\n")
     text = unescape(F.regexp_replace(html, r"<[A-Za-z/!?][^>]*>", ""))
@@ -76,7 +80,11 @@ def visible_text(html: Column) -> Column:
 
 def links(html: Column) -> Column:
     """The href values of a page's anchors in order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<a[\x20\x09-\x0D][^>]*?href=\x22([^\x22]*)\x22"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    def value(x):
+        bare = F.when(F.substring(x, 1, 1).isin('"', "'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+        return F.replace(bare, F.lit("&amp;"), F.lit("&"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), value)
 
 
 def derivatives(source: DataFrame) -> DataFrame:

@@ -160,6 +160,14 @@ PAGE = "page_id long, url string, html string"
 HTML = '<!DOCTYPE html><html><head><meta charset="UTF-8"><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- x --><p>One &lt;two&gt;<br>&#233;&#x4e2d; &amp;lt;</p><a class="k" href="/a?b&amp;c">L\nM</a><div>end'
 
 
+def test_warc_keeps_header_text_and_all_href_forms(spark):
+    html = "<head><title>t</title></head><body><header class=h><h1>Name</h1><p>visible</p></header><p>x</p>"
+    html += "<a href='/one?a&amp;b'>1</a><a class=c href=/two>2</a><a\nhref = \"/three\">3</a><a data-href='/no' href=''>4</a><abbr href='/no'>5</abbr><scripts>6</scripts></body>"
+    made = {r.record_type: r.block for r in warc.report(spark.createDataFrame([(1, "http://a/", html)], PAGE)).collect()}
+    assert made["conversion"] == "Name\nvisible\nx\n123456"
+    assert re.findall("outlink: (.*)\r\n", made["metadata"]) == ["/one?a&b", "/two", "/three", ""]
+
+
 def test_warc_records(spark, tmp_path):
     rows = [(1, "http://a/", HTML), (1, "http://a/", HTML), (2, None, None), (None, "u", ""), (3, "http://b/", "<p>" + "y" * 100_000)]
     pages = spark.createDataFrame(rows, PAGE).withColumn("record_id", F.lit("own")).withColumn("block", F.lit("own"))
