@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from .license_scan import CAPITAL, CUT, HINT, RULES, SENTENCES
 from .quality import MAX_RATE
-from .warc import BREAKS, DATE, ENTITIES, HIDDEN
+from .warc import DATE
 
+#: The forms of the tags and references that the given pages have.
+_HIDDEN = (r"(?s)<!--.*?-->", *(rf"(?is)<{t}(?:[\x20\x09-\x0D/][^>]*)?>.*?</{t}[^>]*>" for t in ("script", "style", "head", "noscript")))
+_BREAKS = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|nav|article|section|header|footer|aside|main|title|blockquote|pre|hr|body|html))(?:[\x20\x09-\x0D/][^>]*)?>"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"))
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,7 +53,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 def _unescape(x: str) -> str:
-    for name, value in ENTITIES:
+    for name, value in _ENTITIES:
         x = f"replace({x}, {_q(name)}, {_q(value)})"
     code = "CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN ('0x' || substr(r, 4, length(r) - 4))::BIGINT ELSE substr(r, 3, length(r) - 3)::BIGINT END"
     good = f"({code}) >= 32 AND ({code}) < 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343"
@@ -60,9 +64,9 @@ def _unescape(x: str) -> str:
 def _warc() -> str:
     uuid = lambda x: f"'<urn:uuid:' || substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-' || substr({x}, 13, 4) || '-' || substr({x}, 17, 4) || '-' || substr({x}, 21, 12) || '>'"
     html = "payload"
-    for p in HIDDEN:
+    for p in _HIDDEN:
         html = f"regexp_replace({html}, {_q(p)}, ' ', 'g')"
-    html = f"regexp_replace(regexp_replace({html}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), {_q(BREAKS)}, chr(10), 'g')"
+    html = f"regexp_replace(regexp_replace({html}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), {_q(_BREAKS)}, chr(10), 'g')"
     return f"""
 WITH src AS (SELECT page_id, coalesce(url, '') url, coalesce(html, '') payload, md5(concat_ws(chr(31), 'response', page_id::VARCHAR, coalesce(url, ''))) h FROM pages),
 a AS (SELECT *, {uuid("h")} rid, 'sha256:' || sha256(payload) pd, lower(regexp_extract(payload, '(?i)<meta[^>]*charset=[\\x22'']?([A-Za-z0-9_-]+)', 1)) cs,

@@ -8,23 +8,31 @@ digest, and carry a digest of their own block. Records are rows first; ``write``
 from __future__ import annotations
 
 import gzip
+import html
+import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
+
+from .common import as_bytes
 
 VERSION = "WARC/1.1"
 #: WARC-Date of pages that have no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block string"
 
-#: What a browser does not show, with its content. A tag's name ends before a blank, / or >: <header> is no <head>.
-UNSEEN = (r"(?s)<!--.*?-->", *(rf"(?is)<{t}(?:[\x20\x09-\x0D/][^>]*)?>.*?</{t}(?:[\x20\x09-\x0D/][^>]*)?>" for t in ("script", "style", "head", "noscript")))
+#: What a browser does not show, with its content, or a tag. A tag's name ends before a blank, / or >: <header> is no <head>.
+UNSEEN = rb"<!--.*?-->|<(script|style|head|noscript)(?:[\x20\x09-\x0D/][^>]*)?>.*?</\1(?:[\x20\x09-\x0D/][^>]*)?>"
+#: Tags that end a line, and all others.
+BREAKS = rb"<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|nav|article|section|header|footer|aside|main|title|blockquote|pre|hr|body|html))(?:[\x20\x09-\x0D/][^>]*)?>"
+TAG = rb"<[A-Za-z/!?][^>]*>"
 #: An anchor's href: in double or single quotes, or bare.
-HREF = r"(?i)<a(?:[\x20\x09-\x0D/][^>]*?)?[\x20\x09-\x0D/\x22']href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*(\x22[^\x22]*\x22|'[^']*'|[^\x20\x09-\x0D\x22'>][^\x20\x09-\x0D>]*)"
-#: The forms the SQL knows, which agree on pages without <header> and the like; then the tags that end a line.
-HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script[^>]*>.*?</script[^>]*>", r"(?is)<style[^>]*>.*?</style[^>]*>", r"(?is)<head[^>]*>.*?</head[^>]*>", r"(?is)<noscript[^>]*>.*?</noscript[^>]*>")
-BREAKS = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|nav|article|section|header|footer|aside|main|title|blockquote|pre|hr|body|html))(?:[\x20\x09-\x0D/][^>]*)?>"
-#: Character references that are resolved by name; others stay but for decimal and hexadecimal ones. &amp; goes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"))
+HREF = rb"<a(?:[\x20\x09-\x0D/][^>]*?)?[\x20\x09-\x0D/\x22']href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*(\x22[^\x22]*\x22|'[^']*'|[^\x20\x09-\x0D\x22'>][^\x20\x09-\x0D>]*)"
+TITLE = rb"<title[^>]*>(.*?)</title"
+#: A character reference; one without its semicolon stays as it is.
+REFERENCE = rb"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+PARTS = "title string, links array<string>, text string"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -54,37 +62,52 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
-def unescape(text: Column) -> Column:
-    """Resolve the named references of ``ENTITIES`` and numeric ones, ``&amp;`` last."""
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});)"), F.lit(1)))
+def unescape(data: bytes) -> bytes:
+    """Resolve all named and numeric character references once; a no-break space written by name is a blank."""
+    return _REFERENCE.sub(lambda m: b" " if m[0] == b"&nbsp;" else html.unescape(m[0].decode()).encode("utf-8", "replace"), data) if b"&" in data else data
 
-    def resolve(acc, ref):
-        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.regexp_extract(ref, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "#([0-9]+)", 1)).cast("long")
-        good = (code >= 32) & (code < 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(good, F.replace(acc, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(acc)
 
-    numbered = F.when(F.contains(text, F.lit("&#")), F.aggregate(refs, text, resolve)).otherwise(text)
-    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
+_UNSEEN, _HREF, _TITLE = (re.compile(p, re.I | re.S) for p in (UNSEEN, HREF, TITLE))
+_BREAKS, _TAG, _REFERENCE = re.compile(BREAKS, re.I), re.compile(TAG), re.compile(REFERENCE)
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(page: bytes) -> bytes:
     """The text of a page: hidden parts and tags removed, block tags as line ends, blanks single, no empty lines."""
-    for pattern in UNSEEN:
-        html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(F.regexp_replace(html, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), BREAKS, "\n")
-    text = unescape(F.regexp_replace(html, r"<[A-Za-z/!?][^>]*>", ""))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x20\x09]{2,}|\x09", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    single = b" ".join(_UNSEEN.sub(b" ", page).split())
+    text = unescape(_TAG.sub(b"", _BREAKS.sub(b"\n", single)))
+    lines = (b" ".join(x for x in line.replace(b"\t", b" ").split(b" ") if x) for line in text.split(b"\n"))
+    return b"\n".join(x for x in lines if x)
 
 
-def links(html: Column) -> Column:
+def links(page: bytes) -> list[bytes]:
     """The href values of a page's anchors in order."""
-    def value(x):
-        bare = F.when(F.substring(x, 1, 1).isin('"', "'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
-        return F.replace(bare, F.lit("&amp;"), F.lit("&"))
+    return [unescape(x[1:-1] if x[:1] in (b'"', b"'") else x) for x in _HREF.findall(page)]
+
+
+def title(page: bytes) -> bytes:
+    """The first title of a page, blanks single; empty if it has none."""
+    found = _TITLE.search(page)
+    return re.sub(rb"[\x20\x09-\x0D]+", b" ", unescape(found[1])) if found else b""
+
+
+def parts(page: Column | str) -> Column:
+    """Title, outlinks and visible text of a column of pages; null pages have none."""
+
+    @arrow_udf(PARTS)
+    def take(column):
+        import pyarrow as pa
 
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), value)
+        def some(pages):
+            strings = lambda values: pa.array(values, pa.binary()).cast(pa.string())
+            found = [links(p) for p in pages]
+            sizes = pa.array([0, *accumulate(map(len, found))], pa.int32())
+            flat = strings([x for each in found for x in each])
+            return pa.StructArray.from_arrays([strings([title(p) for p in pages]), pa.ListArray.from_arrays(sizes, flat), strings([visible_text(p) for p in pages])], names=["title", "links", "text"])
+
+        pieces = (column.slice(i, 500) for i in range(0, max(1, len(column)), 500))  # lists of whole pages stay short
+        return pa.concat_arrays([some([p or b"" for p in as_bytes(piece)]) for piece in pieces])
+
+    return take.asNondeterministic()(page)  # so that no rewrite evaluates it more than once
 
 
 def derivatives(source: DataFrame) -> DataFrame:
@@ -93,19 +116,16 @@ def derivatives(source: DataFrame) -> DataFrame:
     Columns as in ``RECORD``. The metadata block has the fields title, outlink (one for each anchor), source headers
     and source digest. A page with no text has an empty conversion block. Repeated pages give repeated records.
     """
-    html = F.col("payload")
-    title = F.regexp_replace(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)), r"[\x20\x09-\x0D]+", " ")
-    outlinks = links(html)
-    made = source.withColumn("_title", title).withColumn("_links", outlinks).withColumn("_text", visible_text(html))
+    made = source.withColumn("_parts", parts("payload"))
     fields = F.concat(
-        F.lit("title: "), F.col("_title"), F.lit("\r\n"),
-        F.array_join(F.transform("_links", lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"[\r\n]+", " "), F.lit("\r\n"))), ""),
+        F.lit("title: "), F.col("_parts.title"), F.lit("\r\n"),
+        F.array_join(F.transform("_parts.links", lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"[\r\n]+", " "), F.lit("\r\n"))), ""),
         F.array_join(F.transform(F.filter(F.split("http_headers", "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))), ""),
         F.lit("source-digest: "), F.col("payload_digest"), F.lit("\r\n"),
     )
     both = F.array(
         F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain").alias("content_type"), F.col("_text").alias("block")),
+        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain").alias("content_type"), F.col("_parts.text").alias("block")),
     )
     rows = made.select("page_id", "record_id", "target_uri", "warc_date", "payload_digest", F.explode(both).alias("r"))
     own = F.when(F.col("r.kind") == "metadata", record_id("metadata", F.col("record_id"))).otherwise(record_id("conversion", F.col("record_id")))
@@ -130,14 +150,27 @@ def report(pages: DataFrame) -> DataFrame:
 
 
 def write(records: DataFrame, path: str, per_file: int = 50_000) -> None:
-    """Write records as gzipped WARC files of at most ``per_file`` records.
+    """Write records as WARC files of about ``per_file`` records, each behind a ``warcinfo`` record.
 
-    Header values have line ends replaced by blanks. Lines of the header end in CR LF as the format asks.
+    Files are not compressed: compressed WARC needs a gzip member for each record, which Spark's text sink does not
+    write. Header values have line ends replaced by blanks. Lines of the header end in CR LF as the format asks.
     """
     names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("X-Page-ID", "page_id"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
     lines = [F.concat(F.lit(f"{n}: "), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " "), F.lit("\r\n")) for n, c in names]
     whole = F.concat(F.lit(f"{VERSION}\r\n"), *lines, F.lit("\r\n"), F.col("block"))
-    records.select(whole.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    files = max(1, -(-records.count() // per_file))
+
+    def with_info(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        block = "format: WARC File Format 1.1\r\n"
+        info = f"{VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n{block}"
+        yield pa.RecordBatch.from_pydict({"value": [info]})
+        yield from batches
+
+    records.select(whole.alias("value")).repartition(files).mapInArrow(with_info, "value string").write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse(data: bytes) -> list[dict]:
@@ -155,7 +188,7 @@ def parse(data: bytes) -> list[dict]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Read the records of WARC files back by their Content-Length; a file is read whole, so ``write`` bounds its records."""
+    """Read the derivative records of WARC files back by their Content-Length; a file is read whole, so ``write`` bounds its records."""
 
     def records(batches):
         import pyarrow as pa
@@ -163,7 +196,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kinds = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in RECORD.split(", "))])
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = [r | {"page_id": int(r["page_id"]) if r["page_id"] else None} for r in parse(data)]
+                rows = [r | {"page_id": int(r["page_id"]) if r["page_id"] else None} for r in parse(data) if r["record_type"] != "warcinfo"]
                 yield from pa.Table.from_pylist(rows, schema=kinds).to_batches(max_chunksize=2000)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RECORD)
