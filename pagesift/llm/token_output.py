@@ -7,22 +7,25 @@ can take single documents, or counts alone, without reading other ids.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from functools import lru_cache
-from itertools import islice
+from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.storage import scratch_path
+from ..plans.running import running_sum
+from ..plans.storage import lookup_join, materialize, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-#: Entries a worker's cache of encoded units holds; when full it keeps the half learnt first, which has the frequent ones.
-CACHE = 100_000
-LONGEST = 64
-#: Marks that may end a word; none is a letter or digit.
-MARKS = ".,;:!?#*$%&|<>()[]\"'-"
+#: Entries, and characters of all keys for each entry, that a worker's cache of encoded units may hold.
+CACHE = 300_000
+KEY_CHARS = 32
+#: Units of one string handed to the library.
+JOINED = 32
+#: Texts without these have words with one blank or one line end between them, and nothing else.
+UNEVEN = r"[\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]\z"
 #: What Parquet is told: row groups of 64 MB, pages of 1 MB or 20,000 rows, dictionary for ids, column indexes.
 PARQUET = {
     "parquet.block.size": str(64 << 20),
@@ -36,91 +39,134 @@ PARQUET = {
 #: Text bytes for one written file.
 FILE_BYTES = 64 << 20
 WRITTEN = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
-_CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
 class Encoder:
     """Encodes whole texts unit by unit; equal to the library's encoding of the whole text.
 
-    A unit is a word with the one blank in front of it, or a line end between two words. The byte-level
-    pre-tokenizer always starts a new token at such a place, so no token crosses it.
+    A unit is a word with the blank or the line end in front of it. The byte-level pre-tokenizer always starts a new
+    token there and a line end is a token of its own, so no token crosses units. Ids of units met before come from a
+    flat array; new units are encoded by the library, many in one string, and cut apart where a token starts with
+    the blank. Texts with other blanks or with special strings are encoded whole.
     """
 
     def __init__(self, file: str, most: int = CACHE):
+        import numpy as np
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(file)
-        self.encode_one = lambda text: model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.encode_all = lambda texts: [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.special = [t.content for t in model.get_added_tokens_decoder().values()]
-        (self.line_end,) = self.encode_one("\n")
-        self.spaced: dict[str, bytes] = {}  # bare word -> ids of " " + word
-        self.bare: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        (self.line_end,) = self.encode_all(["\n"])[0].tolist()
+        mark = model.id_to_token(int(self.encode_all([" "])[0][0]))
+        starts = [t for name, t in model.get_vocab().items() if name[0] == mark]
+        self.blank_first = np.zeros(model.get_vocab_size(), bool)
+        self.blank_first[starts] = True
         self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        import numpy as np
+
+        self.slot: dict[str, int] = {}  # in order of slots; a unit after a blank is its word, else "\n" and the word
+        self.chars = 0
+        self.ends = np.zeros(1, np.int64)  # ends[k]: where the ids of slot k begin and those of slot k - 1 end
+        self.flat = np.zeros(0, np.uint32)
+        self.used = np.zeros(0, bool)
+
+    def _ids(self, slots):
+        """The ids of many slots, one after another, and how many each has."""
+        import numpy as np
 
-    def _learn(self, cache: dict, new: list[str], lead: str) -> None:
-        """Encode units: those without a line end or special text all together, cut apart at the id of the line end."""
+        first, n = self.ends[slots], self.ends[slots + 1] - self.ends[slots]
+        to = np.cumsum(n)
+        return self.flat[np.repeat(first - to + n, n) + np.arange(to[-1] if len(to) else 0)], n
+
+    def _make_room(self) -> None:
+        """Keep the units that were met again since the last time, the oldest first; all go if those are too many."""
+        import numpy as np
+
+        kept = np.flatnonzero(self.used)[: self.most // 2]
+        keys = list(self.slot)
+        flat, n = self._ids(kept)
+        self.slot = {keys[k]: i for i, k in enumerate(kept.tolist())}
+        self.chars = sum(map(len, self.slot))
+        self.flat, self.ends, self.used = flat, np.concatenate([[0], np.cumsum(n)]), np.zeros(len(kept), bool)
+        if self.chars > self.most * KEY_CHARS // 2:
+            self._clear()
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new units, those after a blank before those after a line end."""
         import numpy as np
 
-        plain = [u for u in new if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace() and not any(x in u for x in self.special)]
-        # letters and the marks after them are always different tokens, so "word," is "word" and ","
-        cut = {u: stem for u in plain if (stem := u.rstrip(MARKS)) != u and stem and stem[-1].isalpha()}
-        stems = {s for s in cut.values() if s not in cache}
-        tails = {u[len(s) :] for u, s in cut.items()}
-        joint = list(stems.union(u for u in plain if u not in cut))
-        for i in range(0, len(joint), 5000):
-            part = joint[i : i + 5000]
-            ids = np.array(self.encode_one("\n".join([lead + u for u in part])), "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.line_end)).tolist(), 4 * len(ids)]
-            data, at = ids.tobytes(), 0
-            for unit, end in zip(part, ends, strict=True):
-                cache[unit] = data[at:end]
-                at = end + 4
-        if tails := [t for t in tails if t not in self.tails]:
-            for t in tails:
-                self.tails[t] = np.array(self.encode_one(t), "<u4").tobytes()
-        for unit, stem in cut.items():
-            cache[unit] = cache[stem] + self.tails[unit[len(stem) :]]
-        for unit in set(new).difference(plain):
-            cache[unit] = np.array(self.encode_one(lead + unit), "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without an end id."""
-        lines, spaced, bare = [], set(), {"\n"}
-        for text in texts:
-            if not text:
-                lines.append([])
-            elif " ".join(text.split()) == text.replace("\n", " "):  # single blanks and line ends only
-                parts = [line.split(" ") for line in text.split("\n")]
-                lines.append(parts)
-                for words in parts:
-                    bare.add(words[0])
-                    spaced.update(words[1:])
-            else:
-                units = _CUTS.split(text)
-                lines.append(units)
-                bare.update(units)
-        for cache, wanted, lead in ((self.spaced, spaced, " "), (self.bare, bare, "")):
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            if len(cache) + len(wanted) > self.most:
-                kept = list(islice(cache.items(), self.most // 2))
-                cache.clear()
-                cache.update(kept)
-            if new := [u for u in wanted if u not in cache]:
-                self._learn(cache, new, lead)
-        after, first, out = self.spaced.__getitem__, self.bare.__getitem__, []
-        end = self.bare["\n"]
-        for parts in lines:
-            if parts and isinstance(parts[0], list):
-                out.append(end.join(first(words[0]) + b"".join(map(after, words[1:])) for words in parts))
-            else:
-                out.append(b"".join(map(first, parts)))
-        for cache, wanted in ((self.spaced, spaced), (self.bare, bare)):
-            for unit in wanted:
-                if len(unit) > LONGEST:
-                    cache.pop(unit, None)
-        return out
+        spaced, bare = [u for u in new if u[0] != "\n"], [u for u in new if u[0] == "\n"]
+        ids, cuts, at = [self.flat], [], len(self.flat)
+        for units, lead, starts in ((spaced, " ", self.blank_first.__getitem__), (bare, "", lambda x: x == self.line_end)):
+            made = self.encode_all([lead + lead.join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)])
+            if made:
+                joined = np.concatenate(made)
+                first = np.flatnonzero(starts(joined))
+                if len(first) != len(units):
+                    raise ValueError("the tokenizer does not start a token at each blank")
+                ids.append(joined)
+                cuts += [first[1:] + at, [at + len(joined)]]
+                at += len(joined)
+        self.slot.update(zip(spaced + bare, range(len(self.slot), len(self.slot) + len(new))))
+        self.chars += sum(map(len, new))
+        self.flat, self.ends = np.concatenate(ids), np.concatenate([self.ends, *cuts])
+        self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
+
+    def _even(self, texts, end: int):
+        """Ids of texts that have single blanks and line ends only, each followed by ``end``; and how many each has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # with a line end in front, so that the first word is like the first of any line
+        marked = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
+        units = pc.split_pattern(pc.utf8_slice_codeunits(marked, 1), " ")
+        words = pc.dictionary_encode(units.flatten())
+        named = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.slot) + len(named) > self.most or self.chars > self.most * KEY_CHARS:
+            self._make_room()
+        found = np.fromiter(map(self.slot.get, named, repeat(-1)), np.int64, len(named))
+        new = np.flatnonzero(found < 0)
+        self.used[found[found >= 0]] = True
+        if len(new):
+            # units at a line's start go last, in one string of their own
+            new = new[np.argsort([named[k][0] == "\n" for k in new.tolist()], kind="stable")]
+            found[new] = len(self.slot) + np.arange(len(new))
+            self._learn([named[k] for k in new.tolist()])
+        ids, n = self._ids(found[words.indices.to_numpy()])
+        to = np.concatenate([[0], np.cumsum(n)])[np.cumsum(units.value_lengths().to_numpy())]
+        out = np.append(ids[1:], np.uint32(end))  # without the line end in front, all move up by one
+        out[to - 1] = end
+        return out, np.diff(to, prepend=0)
+
+    def encode(self, texts, end: int = END):
+        """Ids of an Arrow array of texts, each followed by ``end``, and how many each has. Null texts are empty."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        even = pc.invert(pc.or_(pc.match_substring_regex(texts, UNEVEN), pc.equal(texts, "")))
+        for s in self.special:
+            even = pc.and_not(even, pc.match_substring(texts, s))
+        is_even = even.to_numpy(zero_copy_only=False)
+        n = np.zeros(len(texts), np.int64)
+        rest = [np.append(x, np.uint32(end)) for x in self.encode_all(texts.filter(pc.invert(even)).to_pylist())]
+        n[~is_even] = list(map(len, rest))
+        if is_even.any():
+            ids, n[is_even] = self._even(texts.filter(even), end)
+        out, here = np.empty(n.sum(), np.uint32), np.repeat(is_even, n)
+        if is_even.any():
+            out[here] = ids
+        if rest:
+            out[~here] = np.concatenate(rest)
+        return out, n
 
 
 @lru_cache(maxsize=2)
@@ -150,16 +196,13 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: in
         from pyspark import TaskContext
 
         shard, at, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer_file)
-        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for some in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                ids = [x + last for x in encoder.encode(some.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.cumsum(n) - n
+            for some in (batch.slice(i, 400) for i in range(0, batch.num_rows, 400)):
+                ids, n = encoder.encode(some.column("text"), end)
+                to = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + to - n), pa.array(n), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
                 at += int(n.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                del ids
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
             pa.default_memory_pool().release_unused()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -170,15 +213,14 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: in
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The written rows ``doc_id, start, n_tokens, ids``; start counts the ids of all rows before.
 
-    Totals of the files are added up on the driver, one number for each file; only counts are read for that.
+    One total for each file is added up over ranges of files and joined; only counts are read for that.
     """
     rows = spark.read.schema(WRITTEN).parquet(path)
-    at, bases = 0, []
-    for r in sorted(rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()):
-        bases += [F.lit(r.shard), F.lit(at).cast("long")]
-        at += r.n
-    base = F.create_map(*bases)[F.col("shard")] if bases else F.lit(0).cast("long")
-    return rows.select("doc_id", (base + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    summed = running_sum(totals, "n", ["shard"], F.floor(F.col("shard") / 1000), out="upto")
+    bases = materialize(summed.select(F.col("shard").alias("_shard"), (F.col("upto") - F.col("n")).alias("_base")), "bases")
+    based = lookup_join(rows, bases, F.col("shard") == F.col("_shard"))
+    return based.select("doc_id", (F.col("_base") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
 def crc32(ids):

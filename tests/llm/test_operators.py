@@ -301,6 +301,24 @@ def test_token_ids_equal_the_library(spark):
         at += len(ids)
 
 
+def test_token_encoder_forgets_and_stays_right():
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(token_output.TOKENIZER)
+    model, encoder = Tokenizer.from_file(file), token_output.Encoder(file, most=300)
+    for k in range(12):
+        texts = [prose(80, seed=k * 10 + i, vocabulary=50).replace(" a", ".\na") for i in range(8)] + [f"x{'y' * 20_000} b", None, "a <|endoftext|> b", "a\xa0b c"]
+        ids, n = encoder.encode(pa.array(texts, pa.string()))
+        want = [model.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+        assert len(encoder.slot) == len(encoder.ends) - 1 == len(encoder.used) and len(encoder.flat) == encoder.ends[-1]
+    assert len(encoder.slot) < 2000
+    assert np.array_equal(encoder.encode(pa.array([], pa.string()))[0], [])
+
+
 def test_token_files_allow_selective_reads(spark, tmp_path):
     import pyarrow.parquet as pq
 
