@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,14 +13,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates the large-star and small-star steps (Kiveris et al. 2014): each node's larger neighbours, then
     its smaller ones, are tied to its smallest neighbour, until every component is a star. A round needs only
     minima per node, which combine before the shuffle, and joins on the node, whose hot keys adaptive execution
-    splits; it is written to the shared folder, so lineage stays short. Self-loops and repeated edges are
+    splits; it is written to the shared folder, so lineage stays short, and replaces the last one. Self-loops and repeated edges are
     harmless; null ends are ignored; an empty table gives an empty one.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     pairs = materialize(pairs, "edges")
     before = None
     for _ in range(max_rounds):
-        pairs = materialize(_small_star(_large_star(pairs)), "edges")
+        earlier, pairs = pairs, materialize(_small_star(_large_star(pairs)), "edges")
+        discard(earlier)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

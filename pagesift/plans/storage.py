@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,9 +13,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The shared scratch folder: ``spark.checkpoint.dir``; in local mode, as in tests, a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,14 +28,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagesift/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", batch: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: its lineage starts at those files.
 
-    A lost executor costs its running tasks only, and each later reader sees the same rows.
+    A lost executor costs its running tasks only, and each later reader sees the same rows. ``batch`` bounds the
+    rows handed to Python at once where rows are long texts, so that a worker's memory stays small.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with arrow_batches(spark, batch):
+        df.write.options(**options).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None):
+    """Bound the rows of an Arrow batch for what is planned and run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
