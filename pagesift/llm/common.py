@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of whole texts that a Python worker takes at once.
+ROWS = 1000
 #: Words are runs of anything but these ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,3 +21,11 @@ def as_bytes(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, with underscores added while it does."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

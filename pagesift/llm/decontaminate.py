@@ -9,17 +9,20 @@ Most of a clean text is skipped eleven words at a time.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..plans.storage import materialize
-from .common import as_bytes
+from .common import ROWS, as_bytes, fresh
 
 WINDOW = 13
 BLOCK = 3
 #: Benchmark words searched in one pass, the bound on what one broadcast holds (about 1 KB a window).
 WORDS_PER_PASS = 400_000
+#: Longer items are sent in pieces of so many words, each with the first words of the next, so that passes are of one size.
+PIECE = 10_000
 
 HIT = "n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 
@@ -109,51 +112,57 @@ def _searching(spark, items: list[tuple[str, bytes]], window: int):
     return search.asNondeterministic()  # so that no rewrite evaluates it more than once
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
-    """Add ``hit``: a struct of n_words, n_hit, the merged hit spans (word positions) and the item ids, sorted as strings.
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """Rows ``(i, p, n, t)``: item id, number, words and text of the pieces that together have all windows of each item."""
+    own = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), own.alias("w")).where("size(w) > 0")
+    cut = items.select("i", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {window}, 0), {PIECE})")).alias("p"))
+    part = cut.select("i", "p", F.slice("w", F.col("p") + 1, F.lit(PIECE + window - 1)).alias("w"))
+    return part.select("i", "p", F.size("w").alias("n"), F.array_join("w", " ").cast("binary").alias("t"))
 
-    ``benchmark`` has ``item_id`` and ``text``; its size is counted first. Up to ``words_per_pass`` words are
-    searched in one map-side pass with no shuffle. A larger benchmark is cut into blocks of about that size by
-    item: one pass for each block, and the spans of a document's passes are merged by ``doc_id`` and text hash.
-    Null texts have no words; items with a null id or without words are ignored; a repeated item counts once;
-    equal rows get equal results; an empty benchmark gives no hits. Other columns are kept.
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_pass: int = WORDS_PER_PASS, out: str = "hit") -> DataFrame:
+    """Add ``out``: a struct of n_words, n_hit, the merged hit spans (word positions) and the item ids, sorted as strings.
+
+    ``benchmark`` has ``item_id`` and ``text``; its words are counted first. It is searched in blocks of about
+    ``words_per_pass`` words, a stated query set against all rows: one map-side pass with no shuffle for each block.
+    With several blocks the rows that a pass hits are written, and spans of a document's passes are merged by
+    ``doc_id`` and text hash. Null texts have no words; items with a null id or without words are ignored; a repeated
+    item counts once; equal rows get equal results; an empty benchmark gives no hits. Other columns are kept, an own
+    column named ``out`` is replaced.
     """
-    spark = docs.sparkSession
-    asked = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
-    total = asked.agg(F.coalesce(F.sum(F.regexp_count(F.col("t").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    spark, docs = docs.sparkSession, docs.drop(out)
+    asked = materialize(_pieces(benchmark, window), "pieces")
+    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     passes = max(1, -(-total // words_per_pass))
+    searching = lambda p: _searching(spark, [(r.i, bytes(r.t)) for r in asked.where(F.pmod(F.xxhash64("i", "p"), F.lit(passes)) == p).collect()], window)("text")
     if passes == 1:
-        return docs.withColumn("hit", _searching(spark, [(r.i, bytes(r.t)) for r in asked.collect()], window)("text"))
-    keyed = docs.withColumn("_t", F.sha2(F.coalesce("text", F.lit("")), 256))
-    parts = []
-    for p in range(passes):
-        block = asked.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p)
-        column = _searching(spark, [(r.i, bytes(r.t)) for r in block.collect()], window)("text")
-        parts.append(materialize(keyed.select("doc_id", "_t", column.alias("h")).where("h.n_hit > 0").distinct(), "hits"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    merged = found.groupBy("doc_id", "_t").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("h.starts", "h.ends")))).alias("_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("_items"),
-    ).withColumnsRenamed({"doc_id": "_d", "_t": "_h"})
-    empty = _searching(spark, [], window)("text")
-    joined = keyed.join(merged, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
-    spans = F.expr(
-        "aggregate(coalesce(_spans, array()), cast(array() as array<struct<s:int,e:int>>), (a, x) -> "
+        return docs.withColumn(out, searching(0))
+    text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
+    parts = [materialize(docs.select("doc_id", text_hash.alias("t"), searching(p).alias("h")).where("h.n_hit > 0").distinct(), "hits", batch=ROWS) for p in range(passes)]
+    found = reduce(DataFrame.union, parts)
+    merged = found.groupBy("doc_id", "t").agg(
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("h.starts", "h.ends")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"),
+    )
+    joined_spans = F.expr(
+        "aggregate(spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> "
         "if(size(a) > 0 and x.starts <= element_at(a, -1).e, "
         "concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.ends)))), "
         "concat(a, array(named_struct('s', x.starts, 'e', x.ends)))))"
     )
-    out = joined.withColumn("_base", empty).withColumn("_m", spans)
+    m = fresh(docs, "_merged")
+    side = merged.withColumn("spans", joined_spans).select(F.struct("doc_id", "t", "spans", "items").alias(m))
+    counted = docs.withColumn(out, _searching(spark, [], window)("text"))
+    joined = counted.join(side, F.col("doc_id").eqNullSafe(F.col(f"{m}.doc_id")) & (text_hash == F.col(f"{m}.t")), "left")
     hit = F.struct(
-        F.col("_base.n_words").alias("n_words"),
-        F.expr("aggregate(_m, 0L, (a, x) -> a + x.e - x.s)").alias("n_hit"),
-        F.col("_m.s").alias("starts"),
-        F.col("_m.e").alias("ends"),
-        F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.col(f"{out}.n_words").alias("n_words"),
+        F.coalesce(F.expr(f"aggregate({m}.spans, 0L, (a, x) -> a + x.e - x.s)"), F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(F.col(f"{m}.spans.s"), F.col(f"{out}.starts")).alias("starts"),
+        F.coalesce(F.col(f"{m}.spans.e"), F.col(f"{out}.ends")).alias("ends"),
+        F.coalesce(F.col(f"{m}.items"), F.col(f"{out}.items")).alias("items"),
     )
-    return out.select(*(c for c in docs.columns), hit.alias("hit"))
+    return joined.withColumn(out, hit).drop(m)
 
 
 def contaminated(hit: str = "hit", share: int = 20):
@@ -175,5 +184,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return search(docs.withColumnRenamed("hit", "_own_hit") if "hit" in docs.columns else docs, benchmark).where(~contaminated()).drop("hit")
+    """The documents that are not contaminated, with all their own columns as they are."""
+    out = fresh(docs, "hit")
+    return search(docs, benchmark, out=out).where(~contaminated(f"`{out}`")).select(*docs.columns)

@@ -7,7 +7,6 @@ functions; the tests compare those queries with brute-force versions.
 from __future__ import annotations
 
 from .license_scan import CAPITAL, CUT, HINT, RULES, SENTENCES
-from .quality import MAX_RATE
 from .warc import DATE
 
 #: The forms of the tags and references that the given pages have.
@@ -123,7 +122,8 @@ h AS (SELECT source, count(*) n, count(*) FILTER (WHERE base_failed OR soft_fail
 p AS (SELECT avg(k / n) mean, var_pop(k / n) v, avg(1 / n) inv FROM h),
 s AS (SELECT mean, CASE WHEN v - mean * (1 - mean) * inv <= 0 THEN 1000 ELSE least(1000, greatest(2, mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1)) END strength FROM p),
 r AS (SELECT source, (k + mean * strength) / (n + strength) rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, NOT base_failed AND NOT (soft_failed AND rate > {MAX_RATE}) kept FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed,
+ CASE WHEN rate > 0.5 THEN 'bad' WHEN rate > 0.25 THEN 'watched' ELSE 'good' END host_verdict, NOT base_failed AND NOT (soft_failed AND rate > 0.25) AND rate <= 0.5 kept FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),

@@ -1,8 +1,8 @@
 """Quality rules judged with the help of each document's host.
 
-Base rules fail a document by itself. Softer rules, which a good document may break now and then, only count where
-its host breaks them often: failures are added up by host, each host's rate is shrunk towards the corpus by a beta
-prior fitted to all hosts' rates, and in hosts whose shrunk rate is too high, documents that break a soft rule go.
+Base rules fail a document by itself. Failures of base and softer rules are added up by host, each host's rate is
+shrunk towards the corpus by a beta prior fitted to all hosts' rates, and the host's verdict is joined back to its
+documents: in a watched host documents that break a soft rule go, in a bad one, where most documents fail, all do.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..plans.storage import lookup_join, materialize
-from .common import as_bytes
+from .common import ROWS, as_bytes, fresh
 
 SYMBOLS = b"#*$%&|<>"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-#: A host whose shrunk rate of soft failures is above this loses the documents that fail.
-MAX_RATE = 0.25
+#: Shrunk failure rates above which a host is watched, and above which it is bad.
+WATCHED = 0.25
+BAD = 0.5
 
 
 def metrics_of(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -60,12 +61,12 @@ def metrics(text: Column | str) -> Column:
     return measure.asNondeterministic()(text)  # so that no rewrite evaluates it more than once
 
 
-def base_failed(q: str = "q") -> Column:
+def base_failed(q: str) -> Column:
     """Under 50 words, or over half of them in repeated 3-word windows."""
     return (F.col(f"{q}.n_words") < 50) | (100 * F.col(f"{q}.n_repeat_words") > 50 * F.col(f"{q}.n_words"))
 
 
-def soft_failed(q: str = "q") -> Column:
+def soft_failed(q: str) -> Column:
     """Over 10 symbols in 100 words, over 3 repeated lines in 1000 words and at least 3, or words of under 2 or over 12 code points on average."""
     n, chars = F.col(f"{q}.n_words"), F.col(f"{q}.word_chars")
     return (10 * F.col(f"{q}.n_symbols") > n) | ((F.col(f"{q}.n_dup_lines") >= 3) & (1000 * F.col(f"{q}.n_dup_lines") > 3 * n)) | (chars < 2 * n) | (chars > 12 * n)
@@ -75,7 +76,8 @@ def host_rates(judged: DataFrame, host: str = "host", failed: str = "failed") ->
     """One row for each host: documents, failures, and the failure rate shrunk by an empirical beta prior.
 
     The prior has the mean of all hosts' rates and, by the method of moments, their variance less what counting
-    alone would cause; where hosts do not differ more than that, the prior weighs 1000 documents. The rate is
+    alone would cause. The prior weighs 2 to 1000 documents: 1000 where hosts do not differ beyond counting, and 2,
+    a flat prior's weight, where they differ by more than any beta prior with one mode. The rate is
     (failures + a) / (documents + a + b). A null host is a host of its own. An empty table gives no hosts.
     """
     hosts = judged.groupBy(host).agg(F.count("*").alias("n_docs"), F.count_if(failed).alias("n_failed"))
@@ -94,33 +96,39 @@ def prior_strength(mean: float, variance: float, inverse: float, least: float =
     return most if beyond <= 0 else min(most, max(least, spread / beyond - 1))
 
 
-def judge(docs: DataFrame, max_rate: float = MAX_RATE, host: str = "source") -> DataFrame:
-    """Add ``q`` (the metrics), ``base_failed``, ``soft_failed``, ``host_rate`` and ``kept`` to each row of ``docs``.
+def judge(docs: DataFrame, host: str = "source", out: str = "quality") -> DataFrame:
+    """Add ``out`` to each row of ``docs``: the metrics, ``base_failed``, ``soft_failed``, ``host_rate``, ``host_verdict`` and ``kept``.
 
-    Needs ``text`` and ``host``; keeps all columns but earlier ones of these names. The first pass only writes a
-    count for each host. Documents that fail no rule are kept whatever their host.
+    Needs ``text`` and ``host``; keeps all other columns, but replaces an own column named ``out``. Texts are
+    measured once: rows and metrics are written, failures counted by host, and hosts joined to the written rows.
+    ``host_verdict`` is good, watched or bad. A document goes if it fails a base rule, if it breaks a soft rule in a
+    watched host, or if its host is bad; so a document that breaks no rule goes only where most of its host fails.
+    Null, empty and blank texts have no words and fail; a null host is a host; equal rows are judged alike.
     """
-    own = docs.drop("q", "base_failed", "soft_failed", "host_rate", "kept")
-    judged = own.withColumn("q", metrics("text"))
-    counted = judged.select(F.col(host).alias("host"), (soft_failed() | base_failed()).alias("failed"))
-    return _with_verdict(judged, materialize(host_rates(counted), "hosts"), host, max_rate)
+    return judge_measured(materialize(docs.drop(out).withColumn(out, metrics("text")), "metrics", batch=ROWS), host, out)
 
 
-def _with_verdict(judged: DataFrame, hosts: DataFrame, host: str, max_rate: float) -> DataFrame:
-    rates = hosts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    joined = lookup_join(judged, rates, judged[host].eqNullSafe(rates["_host"]), "left").drop("_host")
-    flagged = joined.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
-    return flagged.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & (F.col("host_rate") > max_rate)))
+def judge_measured(measured: DataFrame, host: str, out: str) -> DataFrame:
+    """As ``judge``, for written rows whose ``out`` holds the metrics."""
+    hosts = materialize(host_rates(measured.select(F.col(host).alias("host"), (soft_failed(out) | base_failed(out)).alias("failed"))), "hosts")
+    own = fresh(measured, "_host")
+    side = hosts.select(F.struct("host", "rate").alias(own))
+    joined = lookup_join(measured, side, F.col(host).eqNullSafe(F.col(f"{own}.host")), "left")
+    rate = F.col(f"{own}.rate")
+    verdict = F.when(rate > BAD, "bad").when(rate > WATCHED, "watched").otherwise("good")
+    kept = ~base_failed(out) & ~(soft_failed(out) & (rate > WATCHED)) & (rate <= BAD)
+    names = [x.split()[0] for x in METRICS.split(", ")]
+    made = F.struct(*(F.col(f"{out}.{n}") for n in names), base_failed(out).alias("base_failed"), soft_failed(out).alias("soft_failed"), rate.alias("host_rate"), verdict.alias("host_verdict"), kept.alias("kept"))
+    return joined.withColumn(out, made).drop(own)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row for each document row: counts, base verdict, verdict. The metrics are written once and read twice."""
-    measured = materialize(docs.select("doc_id", "source", metrics("text").alias("q")), "metrics")
-    counted = measured.select(F.col("source").alias("host"), (soft_failed() | base_failed()).alias("failed"))
-    out = _with_verdict(measured, materialize(host_rates(counted), "hosts"), "source", MAX_RATE)
-    return out.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "soft_failed", "kept")
+    """One row for each document row: counts, base verdict, host verdict, verdict."""
+    measured = materialize(docs.select("doc_id", "source", metrics("text").alias("quality")), "metrics", batch=ROWS)
+    return judge_measured(measured, "source", "quality").select("doc_id", "quality.*").drop("host_rate")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """The documents that ``judge`` keeps, with all their own columns as they are."""
+    out = fresh(docs, "quality")
+    return judge(docs, out=out).where(f"`{out}`.kept").select(*docs.columns)

@@ -20,9 +20,17 @@ ODD = [None, "", " ", "\n\n", "a", "A b\nA b\n", "é ü 日本語 テスト\t\x0
 
 
 def with_clashes(df):
-    """Extra columns named like the operators' own."""
+    """Extra columns named like the operators' own, inner and outer."""
     from pyspark.sql import functions as F
 
-    for name in ("hit", "q", "kept", "fp", "component_id", "n_tokens", "line", "hits", "start", "size_", "license_scan", "host_rate", "base_failed"):
-        df = df.withColumn(name, F.lit("own"))
-    return df
+    names = (
+        "hit hit_ q kept fp component_id n_tokens line hits start size size_ _size source_size target copies mix _mix _plan license_scan _known _matched host_rate "
+        "base_failed soft_failed quality quality_ host _host _gone _doc _later _merged _t _d _h _base _m _spans _items rate bucket _bucket epoch key finish word words row node"
+    )
+    return df.select("*", *(F.lit("own").alias(n) for n in names.split()))
+
+
+def own_columns(df):
+    """Whether all those columns still hold their own values."""
+    names = [c for c in df.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    return all(set(r) == {"own"} for r in df.select(*names).distinct().collect())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm import decontaminate, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, token_count, token_output, warc
 
-from .cases import DOCS, LONG, ODD, docs, prose, with_clashes
+from .cases import DOCS, LONG, ODD, docs, own_columns, prose, with_clashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,8 +149,18 @@ def test_decontamination_odd(spark, odd, empty, bench):
     assert decontaminate.report(empty, bench).count() == 0
     none = decontaminate.report(odd, spark.createDataFrame([], BENCH))
     assert none.where("contaminated OR n_hit > 0").count() == 0 and none.count() == len(ODD)
-    kept = decontaminate.clean(with_clashes(odd).drop("hit"), bench)
-    assert kept.columns == with_clashes(odd).drop("hit").columns
+    kept = decontaminate.clean(with_clashes(odd), bench)
+    assert kept.columns == with_clashes(odd).columns and own_columns(kept)
+    many = decontaminate.search(with_clashes(odd), bench, words_per_pass=10, out="found")
+    assert own_columns(many.drop("found")) and many.count() == len(ODD)
+
+
+def test_long_items_are_searched_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    item = prose(400, 77)
+    texts = [" ".join(item.split()[i : i + 13]) for i in range(0, 388)] + [" ".join(item.split()[i : i + 12]) for i in (0, 40, 45, 388)]
+    found = decontaminate.search(docs(spark, texts), spark.createDataFrame([(1, item)], BENCH), words_per_pass=60)
+    assert {r.doc_id: r.hit.n_hit for r in found.collect()} == {i: 13 if i < 388 else 0 for i in range(392)}
 
 
 # 3 WARC
@@ -518,7 +528,7 @@ def test_line_removal(spark, odd, empty):
     texts = ["one two three four five\nnext line here", "next line here\n\nlast one", None, "One two three four five\n"]
     frame = with_clashes(docs(spark, texts))
     out = line_dedup.remove(frame)
-    assert [r.text for r in out.orderBy("doc_id").collect()] == ["one two three four five\nnext line here", "\nlast one", None, ""] and out.columns == frame.columns
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["one two three four five\nnext line here", "\nlast one", None, ""] and out.columns == frame.columns and own_columns(out)
     assert line_dedup.report(empty).count() == 0 and line_dedup.remove(odd).count() == len(ODD)
     no_id = docs(spark, ["a b", "a b"], ids=[None, 1])
     assert sorted(str(r.text) for r in line_dedup.remove(no_id).collect()) == ["a b", "a b"]
@@ -556,8 +566,8 @@ def test_mixing_meets_targets(spark):
 
 def test_mix_repeats_rows(spark):
     frame = docs(spark, [prose(20, i) for i in range(40)], ["a"] * 36 + ["b"] * 4)
-    out = mixing.mix(frame)
-    assert out.columns == frame.columns
+    out = mixing.mix(with_clashes(frame))
+    assert out.columns == with_clashes(frame).columns and own_columns(out)
     copies = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     words = {r.doc_id: r.taken // 20 for r in mixing.report(frame).collect()}
     assert copies == {d: n for d, n in words.items() if n}
@@ -589,10 +599,13 @@ def test_hosts_decide_on_soft_failures(spark):
     texts = [good] * 40 + [soft] * 2 + [soft] * 30 + [good] * 3 + [bad]
     sources = ["fine"] * 42 + ["poor"] * 33 + [None]
     got = quality.judge(docs(spark, texts, sources)).collect()
-    kept = {(r.source, texts[r.doc_id]): r.kept for r in got}
-    assert kept == {("fine", good): True, ("fine", soft): True, ("poor", soft): False, ("poor", good): True, (None, bad): False}
-    rates = {r.source: r.host_rate for r in got}
-    assert 2 / 42 < rates["fine"] < 0.25 < rates["poor"] < 30 / 33
+    kept = {(r.source, texts[r.doc_id]): r.quality.kept for r in got}
+    assert kept == {("fine", good): True, ("fine", soft): True, ("poor", soft): False, ("poor", good): False, (None, bad): False}
+    rates = {r.source: r.quality.host_rate for r in got}
+    assert 2 / 42 < rates["fine"] < 0.25 and 0.5 < rates["poor"] < 30 / 33
+    assert {r.source: r.quality.host_verdict for r in got}["poor"] == "bad"
+    watched = quality.judge(docs(spark, [good] * 40 + [soft] * 14 + [good] * 26, ["fine"] * 40 + ["poor"] * 40)).where("source = 'poor'").collect()
+    assert {(r.quality.host_verdict, r.quality.soft_failed, r.quality.kept) for r in watched} == {("watched", True, False), ("watched", False, True)}
 
 
 def test_prior_strength():
@@ -602,5 +615,6 @@ def test_prior_strength():
 
 
 def test_quality_keeps_columns(spark, odd):
-    frame = with_clashes(odd).drop("q", "kept", "host_rate", "base_failed")
-    assert quality.keep_good(frame).columns == frame.columns
+    frame = with_clashes(odd.union(docs(spark, [prose(90, i) for i in range(40)])))
+    kept = quality.keep_good(frame)
+    assert kept.columns == frame.columns and kept.count() > 20 and own_columns(kept)
