@@ -12,7 +12,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..operators.graph import connected_components
 from ..plans.storage import lookup_join, materialize
-from .common import as_bytes
+from .common import ROWS, as_bytes
 
 SEED = 42
 RADIUS = 2
@@ -69,13 +69,13 @@ def _variants(fp: str) -> Column:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Verified links ``(a, b, distance)`` that connect all distinct values of ``fp`` within distance 2.
+    """Verified links ``(a, b, distance)`` that connect all values of ``fp``, one row each, within distance 2.
 
     Of the fingerprints that meet on a variant each is tied to the smallest; all of them are within distance 2 of
     one another, so no component is split and no pairs of a group are emitted beyond those.
     """
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = prints.select("fp").distinct().repartition(spread, "fp")  # 65 rows come out of each
+    distinct = prints.select("fp").repartition(spread, "fp")  # 65 rows come out of each
     met = distinct.select("fp", F.explode(_variants("fp")).alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
     pairs = met.select("fp", least.alias("a")).where("fp > a").select("a", F.col("fp").alias("b")).distinct()
@@ -89,7 +89,7 @@ def components(docs: DataFrame, width: int = 3) -> DataFrame:
     One row for each row of ``docs``. Texts without words (null, empty, blank) share the fingerprint zero and are
     linked like any other. Rows with a null ``doc_id`` take part; a component of only such rows has a null id.
     """
-    prints = materialize(docs.select("doc_id", fingerprint("text", width).alias("fp")), "fingerprints")
+    prints = materialize(docs.select("doc_id", fingerprint("text", width).alias("fp")), "fingerprints", batch=ROWS)
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     tied = connected_components(links(classes), "a", "b")
     named = classes.join(tied, classes.fp == tied.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     null doc_id are left out.
     """
     seen = docs.where("doc_id IS NOT NULL").select("doc_id", _shingles("text", width).alias("v")).select("doc_id", "v.key", "v.grams", "v.map")
-    seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "shingles", batch=ROWS)
     least = F.min(F.struct("doc_id", "row")).alias("m")
     classes = materialize(seen.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("node")), "classes")
     prefixes = seen.select("row", F.size("grams").alias("n"), _prefix("grams", _bucket_counts(seen), similarity).alias("prefix"))
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     own = lookup_join(prefixes, classes.select("node"), F.col("row") == F.col("node"), max_rows=1_000_000)
     by_gram = Window.partitionBy("g")
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
-    live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
+    live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared", batch=ROWS)
     good = tried = None
     for star in (True, True, False):
         if star:

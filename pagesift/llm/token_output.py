@@ -15,7 +15,8 @@ from itertools import repeat
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.running import running_sum
-from ..plans.storage import lookup_join, materialize, scratch_path
+from ..plans.storage import arrow_batches, lookup_join, materialize, scratch_path
+from .common import ROWS
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -207,7 +208,8 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: in
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = own.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, WRITTEN).write.options(**PARQUET).parquet(path)
+    with arrow_batches(docs.sparkSession, ROWS):
+        ordered.mapInArrow(encode, WRITTEN).write.options(**PARQUET).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
