@@ -85,11 +85,11 @@ class Encoder:
         to = np.cumsum(n)
         return self.flat[np.repeat(first - to + n, n) + np.arange(to[-1] if len(to) else 0)], n
 
-    def _make_room(self) -> None:
-        """Keep the units that were met again since the last time, the oldest first; all go if those are too many."""
+    def make_room(self, keep: int) -> None:
+        """Keep ``keep`` of the units that were met again since the last time, the oldest first; none if they are too long."""
         import numpy as np
 
-        kept = np.flatnonzero(self.used)[: self.most // 2]
+        kept = np.flatnonzero(self.used)[:keep]
         keys = list(self.slot)
         flat, n = self._ids(kept)
         self.slot = {keys[k]: i for i, k in enumerate(kept.tolist())}
@@ -131,7 +131,7 @@ class Encoder:
         words = pc.dictionary_encode(units.flatten())
         named = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.slot) + len(named) > self.most or self.chars > self.most * KEY_CHARS:
-            self._make_room()
+            self.make_room(self.most // 2)
         found = np.fromiter(map(self.slot.get, named, repeat(-1)), np.int64, len(named))
         new = np.flatnonzero(found < 0)
         self.used[found[found >= 0]] = True
@@ -205,6 +205,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, end: in
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + to - n), pa.array(n), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
                 at += int(n.sum())
             pa.default_memory_pool().release_unused()
+        encoder.make_room(encoder.most // 6)  # the worker lives on into stages of other kinds
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = own.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
