@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..operators.graph import connected_components
-from ..plans.storage import lookup_join, materialize
+from ..plans.storage import arrow_batches, discard, lookup_join, materialize
 from .common import ROWS, as_bytes
 
 SEED = 42
@@ -103,71 +103,81 @@ def report(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingles(text: str, width: int) -> Column:
-    """(digest of the lower-case word sequence, its distinct hashed word shingles, their parity map) of a text.
+def _sets(texts, width: int):
+    """For each text: the digest of its lower-case word sequence, and its distinct word shingles as sorted hashes.
 
-    The whole sequence is the shingle where it is shorter; a text without words has none. A bit of the map tells
-    whether an odd number of shingles falls on it, so two maps differ in no more bits than the sets in shingles.
+    The whole sequence is the shingle where it is shorter; a text without words has none.
     """
+    import numpy as np
+    from xxhash import xxh3_128_digest, xxh64_intdigest
 
-    @arrow_udf("key binary, grams array<long>, map array<long>")
-    def compute(column):
-        import numpy as np
-        import pyarrow as pa
-        from xxhash import xxh3_128_digest, xxh64_intdigest
-
-        def some(texts):
-            keys, out, maps = [], [], []
-            for text in texts:
-                own = text.translate(_LOWER).split() if text else []
-                grams = {b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
-                keys.append(xxh3_128_digest(b" ".join(own)))
-                out.append(np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64)).view(np.int64))
-                odd = np.bincount(out[-1] >> 32 & (MAP_BITS - 1), minlength=MAP_BITS) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            lists = pa.list_(pa.int64())
-            return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(out, lists), pa.array(maps, lists)], names=["key", "grams", "map"])
-
-        # in short pieces, and unused memory is given back: workers live on into later stages
-        made = pa.concat_arrays([some(as_bytes(column.slice(i, 256))) for i in range(0, max(1, len(column)), 256)])
-        pa.default_memory_pool().release_unused()
-        return made
-
-    return compute(text)
+    for text in texts:
+        own = text.translate(_LOWER).split() if text else []
+        grams = {b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else ()
+        yield xxh3_128_digest(b" ".join(own)), np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))).view(np.int64)
 
 
-def _bucket_counts(grams: DataFrame):
-    """Shingles counted into a table of fixed size by their low bits."""
+def _bucket_counts(docs: DataFrame, width: int):
+    """Shingles counted into a table of fixed size by their low bits; a task sends at most one count for each bucket."""
     import numpy as np
 
-    found = grams.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(BUCKETS - 1).alias("b")).count().toArrow()
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, own in _sets(as_bytes(batch.column(0)), width):
+                np.add.at(total, own & (BUCKETS - 1), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
+
+    with arrow_batches(docs.sparkSession, ROWS):
+        found = docs.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int32)
-    counts[found["b"].to_numpy()] = np.minimum(found["count"].to_numpy(), (1 << 31) - 1)
+    counts[found["b"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 31) - 1)
     return counts
 
 
-def _prefix(grams: str, counts, similarity: float) -> Column:
-    """The rarest shingles of each set, as many as must hold one that any set of that similarity has in its own."""
+def _measured(text: str, width: int, counts, similarity: float) -> Column:
+    """Of each text: the digest of its words, the number of shingles, their parity map, and its prefix.
 
-    @arrow_udf("array<long>")
+    A bit of the map tells whether an odd number of shingles falls on it, so two maps differ in no more bits than the
+    sets in shingles. The prefix has the rarest shingles, as many as must hold one that any set of that similarity has
+    in its own, as 32-bit hashes: equal ones stay equal, and verification comes last.
+    """
+
+    @arrow_udf("key binary, n int, map array<long>, prefix array<int>")
     def compute(column):
         import math
 
         import numpy as np
         import pyarrow as pa
 
-        def some(sets):
-            out = []
-            for own in sets.to_numpy(zero_copy_only=False):
-                take = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
-                out.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[:take]])
-            return pa.array(out, pa.list_(pa.int64()))
+        keys, sizes, maps, prefixes = [], [], [], []
+        for key, own in _sets(as_bytes(column), width):
+            take = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
+            odd = np.bincount(own >> 32 & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+            keys.append(key)
+            sizes.append(len(own))
+            maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            prefixes.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[:take]].astype(np.int32))
+        made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(made, names=["key", "n", "map", "prefix"])
+
+    return compute.asNondeterministic()(text)  # so that no rewrite evaluates it more than once
+
+
+def _shingles(text: str, width: int) -> Column:
+    """The digest of each text's words and its shingles."""
+
+    @arrow_udf("key binary, grams array<long>")
+    def compute(column):
+        import pyarrow as pa
 
-        made = pa.concat_arrays([some(column.slice(i, 256)) for i in range(0, max(1, len(column)), 256)])
-        pa.default_memory_pool().release_unused()
-        return made
+        made = list(_sets(as_bytes(column), width))
+        return pa.StructArray.from_arrays([pa.array([k for k, _ in made], pa.binary()), pa.array([g for _, g in made], pa.list_(pa.int64()))], names=["key", "grams"])
 
-    return compute(grams)
+    return compute.asNondeterministic()(text)
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
@@ -179,11 +189,13 @@ def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame
     return both.where(sized & (apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of rows whose shingle sets have the similarity."""
-    wanted = materialize(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "wanted")
-    grams = materialize(lookup_join(seen.select("row", "grams"), wanted, F.col("row") == F.col("d"), max_rows=1_000_000).select("row", "grams"), "grams")
-    both = pairs.join(grams.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b")
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of classes whose shingle sets have the similarity; only their texts are read again."""
+    nodes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+    wanted = materialize(nodes.join(classes, F.col("d") == F.col("node")).select("node", F.col("rep").alias("doc_id"), F.col("key").alias("own")), "wanted")
+    again = lookup_join(docs, wanted, "doc_id").select("node", "own", _shingles("text", width).alias("v"))
+    grams = materialize(again.where("v.key = own").select("node", "v.grams"), "grams", batch=ROWS)
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return materialize(both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b"), "good")
 
@@ -195,20 +207,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     beyond a radius that can be emitted. So this is an exact set-similarity join: two sets of that similarity share
     one of their rarest shingles, whose number is fixed by the size, and every pair that does is either already
     connected or verified, unless sizes or parity maps rule it out. Texts of equal words are one class. Classes that
-    share a shingle are first tied to the smallest of them; then only pairs between different components are tried, so a large group of near copies is
-    not expanded into its pairs. Documents below the similarity are never joined but through others. Rows with a
+    share a shingle are first tied to the smallest of them; then only pairs between different components are tried,
+    so a large group of near copies is not expanded into its pairs. Shingles are not written: texts are shingled once
+    to count, once for the prefixes, and those of candidates again to verify. Documents below the similarity are never joined but through others. Rows with a
     null doc_id are left out.
     """
-    seen = docs.where("doc_id IS NOT NULL").select("doc_id", _shingles("text", width).alias("v")).select("doc_id", "v.key", "v.grams", "v.map")
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    seen = docs.select("doc_id", _measured("text", width, _bucket_counts(docs, width), similarity).alias("v")).select("doc_id", "v.*")
     seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "shingles", batch=ROWS)
     least = F.min(F.struct("doc_id", "row")).alias("m")
     classes = materialize(seen.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("node")), "classes")
-    prefixes = seen.select("row", F.size("grams").alias("n"), _prefix("grams", _bucket_counts(seen), similarity).alias("prefix"))
-    maps = materialize(seen.select("row", F.size("grams").alias("n"), "map"), "maps")
-    own = lookup_join(prefixes, classes.select("node"), F.col("row") == F.col("node"), max_rows=1_000_000)
+    maps = seen.select("row", "n", "map")
+    own = lookup_join(seen.select("row", "n", "prefix"), classes.select("node"), F.col("row") == F.col("node"), max_rows=1_000_000)
     by_gram = Window.partitionBy("g")
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
-    live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared", batch=ROWS)
+    live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
     good = tried = None
     for star in (True, True, False):
         if star:
@@ -226,14 +239,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # the others are tried in the end
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        found = _verified(pairs, seen, similarity)
+        found = _verified(pairs, classes, docs, width, similarity)
         good = found if good is None else good.union(found)
         tied = connected_components(good, "a", "b")
         if star:
             renamed = live.drop("comp").join(tied, "node", "left")
             renamed = renamed.withColumn("comp", F.coalesce("component", "node")).drop("component")
             several = renamed.withColumn("_l", F.min("comp").over(by_gram)).withColumn("_m", F.max("comp").over(by_gram))
-            live = materialize(several.where("_l < _m").drop("_l", "_m"), "shared")
+            earlier, live = live, materialize(several.where("_l < _m").drop("_l", "_m"), "shared")
+            discard(earlier)
     named = classes.join(tied, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
