@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of a lookup table that a join may broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Spark's setting by which a query's shuffle files go when it ends; a written table needs them no longer.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +34,12 @@ def materialize(df: DataFrame, name: str = "table", batch: int | None = None, **
     """Write ``df`` to the shared folder and return the written table: its lineage starts at those files.
 
     A lost executor costs its running tasks only, and each later reader sees the same rows. ``batch`` bounds the
-    rows handed to Python at once where rows are long texts, so that a worker's memory stays small.
+    rows handed to Python at once where rows are long texts, so that a worker's memory stays small. The write's shuffle
+    files are removed when it ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with arrow_batches(spark, batch):
+    with settings(spark, {CLEANUP: "true"}), arrow_batches(spark, batch):
         df.write.options(**options).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path
@@ -44,16 +47,21 @@ def materialize(df: DataFrame, name: str = "table", batch: int | None = None, **
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int | None):
-    """Bound the rows of an Arrow batch for what is planned and run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if rows:
-        spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for what is planned and run inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def arrow_batches(spark: SparkSession, rows: int | None):
+    """Bound the rows of an Arrow batch for what is planned and run inside; None leaves the session's own bound."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
 
 
 def discard(written: DataFrame) -> None:
