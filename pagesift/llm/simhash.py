@@ -18,6 +18,8 @@ SEED = 42
 RADIUS = 2
 #: Shingles are counted into so many buckets to take rare ones first; the order changes the work, not the result.
 BUCKETS = 1 << 18
+#: Rounds in which classes that share a shingle are tied to one of them, before all possible pairs left are tried.
+STARS = 4
 #: Bits of the parity map by which pairs of sets that differ too much are told before their shingles are read.
 MAP_BITS = 1 << 10
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -180,13 +182,18 @@ def _shingles(text: str, width: int) -> Column:
     return compute.asNondeterministic()(text)
 
 
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets' sizes ``n`` and parity maps ``map``, at the prefixes ``a`` and ``b``, leave the similarity possible."""
+    apart = F.expr(" + ".join(f"bit_count({a}.map[{i}] ^ {b}.map[{i}])" for i in range(MAP_BITS // 64)))
+    m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-6) & (apart * (1 + similarity) <= (1 - similarity) * (m + n) + 1e-6)
+
+
 def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of rows whose sizes and parity maps leave the similarity possible."""
-    named = lambda x: maps.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
+    """The rows of ``pairs``, from ``a`` to ``b``, whose sizes and parity maps leave the similarity possible."""
+    named = lambda x: maps.select(F.col("row").alias(x), F.struct("n", "map").alias(f"m{x}"))
     both = lookup_join(lookup_join(pairs, named("a"), "a"), named("b"), "b")
-    apart = F.aggregate(F.zip_with("ma", "mb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
-    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
-    return both.where(sized & (apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6)).select("a", "b")
+    return both.where(_fits("ma", "mb", similarity)).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -207,8 +214,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     beyond a radius that can be emitted. So this is an exact set-similarity join: two sets of that similarity share
     one of their rarest shingles, whose number is fixed by the size, and every pair that does is either already
     connected or verified, unless sizes or parity maps rule it out. Texts of equal words are one class. Classes that
-    share a shingle are first tied to the smallest of them; then only pairs between different components are tried,
-    so a large group of near copies is not expanded into its pairs. Shingles are not written: texts are shingled once
+    share a shingle are first tied to one of them, another one in each of a few rounds; then all possible pairs
+    between different components are tried, so a large group of near copies is not expanded into its pairs. Shingles are not written: texts are shingled once
     to count, once for the prefixes, and those of candidates again to verify. Documents below the similarity are never joined but through others. Rows with a
     null doc_id are left out.
     """
@@ -223,20 +230,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
     live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
     good = tried = None
-    for star in (True, True, False):
+    for k in range(STARS + 1):
+        star = k < STARS
         if star:
-            first = F.min(F.struct("comp", "node")).over(by_gram)
-            pairs = live.withColumn("_f", first).where("comp <> _f.comp").select(F.least("node", "_f.node").alias("a"), F.greatest("node", "_f.node").alias("b"))
+            # each shingle has a leader, another one in each round; a class tries 1, 2, 4, 8 leaders of its shingles
+            turn = F.lit(0).cast("long") if k == 0 else F.xxhash64("node", "g", F.lit(k))
+            first = F.min(F.struct(turn.alias("turn"), "comp", "node")).over(by_gram)
+            met = live.withColumn("_f", first).where("comp <> _f.comp")
+            pairs = met.select(F.least("node", "_f.node").alias("a"), F.greatest("node", "_f.node").alias("b"), F.col("node").alias("from"))
         else:
-            x, y = live.alias("x"), live.alias("y")
+            # sizes and maps are compared inside the join, so a frequent shingle yields no pairs but possible ones
+            mapped = live.join(maps.select(F.col("row").alias("node"), "map"), "node")
+            x, y = mapped.alias("x"), mapped.alias("y")
             # at most this many shingles are shared, by size and by what stands before and after the common one
             most = F.expr("least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)")
             enough = most * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
-            pairs = x.join(y, F.expr("x.g = y.g AND x.node < y.node AND x.comp <> y.comp") & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            met = F.expr("x.g = y.g AND x.node < y.node AND x.comp <> y.comp")
+            pairs = x.join(y, met & enough & _fits("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.distinct()
-        pairs = _possible(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), maps, similarity)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if star:
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # the others are tried in the end
+            turn = F.row_number().over(Window.partitionBy("from").orderBy(F.xxhash64("a", "b")))
+            pairs = _possible(pairs, maps, similarity).withColumn("turn", turn).where(F.col("turn") <= 1 << k)  # the others are tried in the end
+            pairs = pairs.select("a", "b").distinct()
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = _verified(pairs, classes, docs, width, similarity)
