@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 #: (identifier, pattern of the whole normalised sentence), first match wins. Normalised: lower case, comment marks
 #: and punctuation other than . - + / ( ) and commas removed, blanks single. Patterns work in Java and RE2 alike.
 SENTENCES = (
@@ -144,12 +146,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A struct: ``found`` (array of pos, sentence, raw, id: the known sentences in order, as normalised and as they
     stand in the text), ``licenses`` (names by rule order, each once), ``unused`` (identifiers no rule took).
-    Null, empty and licence-free texts have empty arrays. Repeated rows get equal results.
+    Null, empty and licence-free texts have empty arrays. Repeated rows get equal results; texts of any
+    length are scanned whole; an own column license_scan is replaced, all others are kept.
     """
+    docs = docs.drop("license_scan")
+    known_, matched_ = fresh(docs, "_known"), fresh(docs, "_matched")
     named = F.transform(sentences("text"), lambda s: F.struct(s["pos"].alias("pos"), s["sentence"].alias("sentence"), s["raw"].alias("raw"), identify(s["sentence"]).alias("id")))
     known = F.coalesce(F.filter(named, lambda s: s["id"].isNotNull()), F.expr("cast(array() as array<struct<pos:bigint,sentence:string,raw:string,id:string>>)"))
     rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in RULES])
-    start = F.struct(F.array_join(F.transform(F.col("_known"), lambda s: F.concat(F.lit("<"), s["id"], F.lit(">"))), "").alias("rest"), F.expr("cast(array() as array<string>)").alias("licenses"))
+    start = F.struct(F.array_join(F.transform(F.col(known_), lambda s: F.concat(F.lit("<"), s["id"], F.lit(">"))), "").alias("rest"), F.expr("cast(array() as array<string>)").alias("licenses"))
 
     def step(acc, rule):
         hit = F.contains(acc["rest"], rule["ids"])
@@ -158,9 +163,9 @@ def scan(docs: DataFrame) -> DataFrame:
             F.when(hit, F.array_union(acc["licenses"], F.array(rule["license"]))).otherwise(acc["licenses"]).alias("licenses"),
         )
 
-    matched = F.when(F.size("_known") > 0, F.aggregate(rules, start, step)).otherwise(start)
-    out = docs.withColumn("_known", known).withColumn("_matched", matched)
-    return out.select(*docs.columns, F.struct(F.col("_known").alias("found"), F.col("_matched.licenses").alias("licenses"), F.regexp_extract_all(F.col("_matched.rest"), F.lit("<([a-z0-9_]+)>"), F.lit(1)).alias("unused")).alias("license_scan"))
+    matched = F.when(F.size(known_) > 0, F.aggregate(rules, start, step)).otherwise(start)
+    out = docs.withColumn(known_, known).withColumn(matched_, matched)
+    return out.select(*docs.columns, F.struct(F.col(known_).alias("found"), F.col(f"{matched_}.licenses").alias("licenses"), F.regexp_extract_all(F.col(f"{matched_}.rest"), F.lit("<([a-z0-9_]+)>"), F.lit(1)).alias("unused")).alias("license_scan"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.storage import lookup_join, materialize
-from .common import WORD
+from .common import WORD, fresh
 
 #: Entries of the table of word frequencies: words are hashed to them.
 BUCKETS = 1 << 18
@@ -94,8 +94,7 @@ def representatives(cut: DataFrame, table: bytes) -> DataFrame:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs of representatives ``(d1, l1, d2, l2)``, the first one earlier, that pass all filters."""
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = reps.select("doc_id", "line_no", "n", "map", "wide", F.posexplode("prefix").alias("i", "word")).repartition(parts, "word")  # dealt out once, for both sides
+    met = reps.select("doc_id", "line_no", "n", "map", "wide", F.posexplode("prefix").alias("i", "word"))  # dealt out by the join, which splits hot words
     a = met.select("word", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "line_no", "n", "map", "wide", "i")))
     b = met.select(F.col("word").alias("word2"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "map", "wide", "i")))
     need = F.expr("(4 * (n1 + n2) + 8) div 9")
@@ -154,7 +153,8 @@ def remove(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id or text stay whole. Blank lines are never removed.
     """
-    gone = judged_lines(docs.select("doc_id", "text")).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    own = fresh(docs, "_gone")
+    gone = judged_lines(docs.select("doc_id", "text")).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")).select(F.struct("doc_id", "lines").alias(own))
+    joined = docs.join(gone, F.col("doc_id") == F.col(f"{own}.doc_id"), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(f"{own}.lines", i))
+    return joined.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..plans.storage import materialize
-from .common import as_bytes
+from .common import as_bytes, fresh
 
 #: Mean bytes between cuts; the longest chunk; the shortest span that counts (about 18 words).
 MEAN = 24
@@ -149,7 +149,8 @@ def remove(docs: DataFrame, mean: int = MEAN, least: int = SPAN) -> DataFrame:
 
     Other columns and rows are kept as they are. ``n_chars``, where there is one, is not recounted.
     """
-    gone = spans(docs.select("doc_id", "text"), mean, least).where("removed_bytes > 0").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("_later")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
-    text = F.when(F.col("_later").isNull(), F.col("text")).otherwise(_without("text", F.col("_later.start"), F.col("_later.end")))
+    own = fresh(docs, "_later")
+    gone = spans(docs.select("doc_id", "text"), mean, least).where("removed_bytes > 0").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("later"))
+    joined = docs.join(gone.select(F.struct("doc_id", "later").alias(own)), F.col("doc_id") == F.col(f"{own}.doc_id"), "left")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(_without("text", F.col(f"{own}.later.start"), F.col(f"{own}.later.end")))
     return joined.withColumn("text", text).select(*docs.columns)

@@ -105,6 +105,11 @@ def test_license_hints_drop_no_wording(spark, text, ids):
     assert license_scan.report(docs(spark, [text])).first().sentence_ids == ids
 
 
+def test_license_scan_keeps_own_columns(odd):
+    out = license_scan.scan(with_clashes(odd))
+    assert own_columns(out.drop("license_scan")) and out.count() == len(ODD)
+
+
 def test_license_is_native(odd):
     plan = license_scan.report(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
