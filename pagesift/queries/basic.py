@@ -275,16 +275,17 @@ def jn2_using(spark, sf):
     return table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "n_nationkey").join(table(spark, sf, "nation"), "n_nationkey").select("s_suppkey", "n_name")
 
 
-@query(f"WITH {TRUTH}, e AS (SELECT vec_id % 400 page_id, vec_id seq, label FROM embeddings), last AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq DESC) = 1) SELECT t.page_id, last.seq, last.label FROM truth t JOIN last USING (page_id)")
+@query(f"WITH {TRUTH}, e AS (SELECT vec_id page_id, 1 seq, label FROM embeddings UNION ALL SELECT vec_id, vec_id % 3 * 2, -label FROM embeddings), last AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq DESC) = 1) SELECT t.page_id, last.seq::BIGINT seq, last.label FROM truth t JOIN last USING (page_id)")
 def jn3_join_embeddings(spark, sf):
-    emb = table(spark, sf, "embeddings").select((F.col("vec_id") % 400).alias("page_id"), F.col("vec_id").alias("seq"), "label")
+    e = table(spark, sf, "embeddings")
+    emb = e.select(F.col("vec_id").alias("page_id"), F.lit(1).cast("long").alias("seq"), "label").union(e.select("vec_id", F.col("vec_id") % 3 * 2, -F.col("label")))
     return J.join_embeddings(truth(spark, sf), emb, seq="seq").select("page_id", "seq", "label")
 
 
-@query("SELECT doc_id, label FROM labels JOIN embeddings ON vec_id = doc_id WHERE doc_id < 200")
+@query("SELECT doc_id, label FROM labels JOIN embeddings ON vec_id = doc_id")
 def jn4_align(spark, sf):
     emb = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return J.align(emb, table(spark, sf, "labels").where("doc_id < 200"), "doc_id").select("doc_id", "label")
+    return J.align(emb, J.restrict(table(spark, sf, "labels"), emb, "doc_id"), "doc_id").select("doc_id", "label")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
