@@ -30,7 +30,7 @@ SENTENCES = (
     ("apache2_by", r"(this (work|file|software|project|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of (the )?)?apache licen[cs]e version 2\.0( \(the license\))?"),
     ("apache2_title", r"apache licen[cs]e( version 2\.0)?( january 2004)?"),
     ("apache2_use", r"you may not use this file except in compliance with the license"),
-    ("apache2_copy", r"you may obtain a copy of the license at .*"),
+    ("apache2_copy", r"you may obtain a copy of the license at( .*)?"),
     ("apache2_law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*"),
     ("apache2_see", r"see the license for the specific language governing permissions and limitations under the license"),
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*"),
@@ -44,10 +44,19 @@ SENTENCES = (
     ("gpl3_by", r"(this (work|file|software|project|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of (the )?)?gnu general public licen[cs]e version 3(\.0)?( or (any )?later)?"),
     ("gpl2_by", r"(this (work|file|software|project|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of (the )?)?gnu general public licen[cs]e version 2(\.0)?( or (any )?later)?"),
     ("gpl_by", r"(this (work|file|software|project|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of (the )?)?gnu general public licen[cs]e"),
+    ("gpl3_free", r"this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 .*"),
+    ("lgpl_free", r"this (program|library) is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license .*"),
+    ("agpl_free", r"this program is free software you can redistribute it and/or modify it under the terms of the gnu affero general public license .*"),
+    ("free", r"this (program|library) is free software"),
+    ("gpl_terms", r"you can redistribute it and/or modify it under the terms of the gnu general public license( as published by the free software foundation)?"),
+    ("lgpl_terms", r"you can redistribute it and/or modify it under the terms of the gnu lesser general public license( as published by the free software foundation)?"),
+    ("agpl_terms", r"you can redistribute it and/or modify it under the terms of the gnu affero general public license( as published by the free software foundation)?"),
+    ("version2", r"either version 2(\.1)? of the license or( \(at your option\))? any later version"),
+    ("version3", r"either version 3 of the license or( \(at your option\))? any later version"),
     ("gpl_free", r"this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license .*"),
-    ("gpl_hope", r"this program is distributed in the hope that it will be useful but without any warranty .*"),
-    ("gpl_received", r"you should have received a copy of the gnu general public license along with this program.*"),
-    ("mpl2_by", r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0"),
+    ("gpl_hope", r"this (program|library) is distributed in the hope that it will be useful but without any warranty.*"),
+    ("gpl_received", r"you should have received a copy of the gnu (lesser |affero )?general public license along with this (program|library).*"),
+    ("mpl2_by", r"this source code form is subject to the terms of the mozilla public license( v(\.? ?2\.0)?)?"),
     ("mpl2_copy", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
     ("isc_grant", r"permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted .*"),
     ("cc0_by", r"(this (work|file|software|project|code) is )?(released|licensed|distributed|available|provided) under (the )?(terms of (the )?)?cc0( 1\.0)?( universal)?"),
@@ -77,6 +86,18 @@ RULES = (
     ("BSD", ("bsd_by",)),
     ("BSD-3-Clause", ("spdx_bsd3",)),
     ("BSD-2-Clause", ("spdx_bsd2",)),
+    ("BSD", ("bsd_grant",)),
+    ("GPL-3.0", ("gpl3_free", "gpl_hope", "gpl_received")),
+    ("GPL-3.0", ("gpl3_free",)),
+    ("GPL-2.0", ("free", "gpl_terms", "version2", "gpl_hope", "gpl_received")),
+    ("GPL-2.0", ("free", "gpl_terms", "version2")),
+    ("GPL-3.0", ("free", "gpl_terms", "version3")),
+    ("LGPL", ("lgpl_free", "gpl_hope", "gpl_received")),
+    ("LGPL", ("lgpl_free",)),
+    ("LGPL", ("free", "lgpl_terms")),
+    ("AGPL", ("agpl_free", "gpl_hope", "gpl_received")),
+    ("AGPL", ("agpl_free",)),
+    ("AGPL", ("free", "agpl_terms")),
     ("GPL", ("gpl_free", "gpl_hope", "gpl_received")),
     ("GPL", ("gpl_free",)),
     ("GPL-3.0", ("gpl3_by",)),
@@ -107,8 +128,11 @@ HINT = r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|right
 SENTENCE_HINT = HINT + r"|under (?:the )?(?:terms of (?:the )?)?cc "
 #: Every text with a known sentence has one of these words, in any case and wherever its lines break.
 WORD_HINT = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public|reserved|cc0|commons|\bcc\b|software|endorse|mpl"
-#: A line end before a capital letter ends a sentence: it is doubled, and CUT takes blank lines.
+#: Within a sentence that is not known as a whole, a line end before a capital letter ends one: it is marked, and cut.
 CAPITAL = r"\n[\x20\x09-\x0D]*([A-Z])"
+MARK = "\x01"
+#: Sentences that may run over lines with capitals, as one pattern; a copyright line is never continued.
+WRAPPED = "|".join(f"(?:{p})" for name, p in SENTENCES if name not in ("copyright", "reserved"))
 #: Sentences end at . ! ? or ; before a blank, and at blank lines.
 CUT = r"[.!?;][\x20\x09-\x0D]+|[\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*"
 
@@ -119,16 +143,19 @@ def sentences(text: Column | str) -> Column:
     ``pos`` is the sentence's place among all sentences of the text. Null and empty texts have none.
     """
     text = F.col(text) if isinstance(text, str) else text
-    cut = F.split(F.regexp_replace(text, CAPITAL, "\n\n$1"), CUT)
-    hinted = F.when(text.rlike(WORD_HINT), cut).otherwise(F.expr("cast(array() as array<string>)"))
+    hinted = F.when(text.rlike(WORD_HINT), F.split(text, CUT)).otherwise(F.expr("cast(array() as array<string>)"))
+    whole = lambda s: F.contains(s, F.lit("\n")) & s.rlike(WORD_HINT) & normalize(s).rlike(f"^(?:{WRAPPED})$")
+    pieces = lambda s: F.split(F.regexp_replace(s, CAPITAL, f"{MARK}$1"), MARK)
+    hinted = F.flatten(F.transform(hinted, lambda s: F.when(whole(s), F.array(s)).otherwise(pieces(s))))
     numbered = F.transform(hinted, lambda s, i: F.struct(i.cast("long").alias("pos"), normalize(s).alias("sentence"), s.alias("raw")))
     return F.filter(numbered, lambda s: s["sentence"].rlike(SENTENCE_HINT))
 
 
 def normalize(s: Column) -> Column:
-    """Lower case; comment marks and most punctuation removed; blanks single; no final stop."""
+    """Lower case; comment marks and most punctuation removed; blanks single, none inside brackets; no final stop."""
     plain = F.regexp_replace(F.lower(s), r"[^a-z0-9.()+/-]+", " ")
     bare = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r" [-*/+.#]+ ", " ")
+    bare = F.replace(F.replace(bare, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
     return F.regexp_replace(bare, r"^[ .]+|[ .]+$", "")
 
 

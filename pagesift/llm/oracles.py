@@ -6,7 +6,7 @@ functions; the tests compare those queries with brute-force versions.
 
 from __future__ import annotations
 
-from .license_scan import CAPITAL, CUT, HINT, RULES, SENTENCES
+from .license_scan import CAPITAL, CUT, RULES, SENTENCE_HINT, SENTENCES, WORD_HINT, WRAPPED
 from .warc import DATE
 
 #: The forms of the tags and references that the given pages have.
@@ -23,15 +23,18 @@ def _q(text: str) -> str:
 
 def _license_scan() -> str:
     cases = " ".join(f"WHEN regexp_full_match(n, {_q(p)}) THEN {_q(i)}" for i, p in SENTENCES)
+    norm = lambda x: f"regexp_replace(replace(replace(regexp_replace(' ' || regexp_replace(lower({x}), '[^a-z0-9.()+/-]+', ' ', 'g') || ' ', ' [-*/+.#]+ ', ' ', 'g'), '( ', '('), ' )', ')'), '^[ .]+|[ .]+$', '', 'g')"
     steps = []
     for k, (name, ids) in enumerate(RULES):
         seq = _q("".join(f"<{i}>" for i in ids))
         steps.append(f"r{k + 1} AS (SELECT doc_id, replace(rest, {seq}, '|') rest, CASE WHEN contains(rest, {seq}) AND NOT list_contains(lic, {_q(name)}) THEN list_append(lic, {_q(name)}) ELSE lic END lic FROM r{k})")
     return f"""
-WITH cut AS (SELECT doc_id, string_split_regex(regexp_replace(text, {_q(CAPITAL)}, chr(10) || chr(10) || '\\1', 'g'), {_q(CUT)}) s FROM documents WHERE regexp_matches(text, {_q(HINT)}, 'i')),
-one AS (SELECT doc_id, i - 1 pos, s[i] raw FROM cut, unnest(range(1, len(s) + 1)) r(i)),
-norm AS (SELECT doc_id, pos, regexp_replace(regexp_replace(' ' || regexp_replace(lower(raw), '[^a-z0-9.()+/-]+', ' ', 'g') || ' ', ' [-*/+.#]+ ', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') n FROM one),
-named AS (SELECT doc_id, pos, CASE {cases} END id FROM norm WHERE regexp_matches(n, {_q(HINT)})),
+WITH cut AS (SELECT doc_id, string_split_regex(text, {_q(CUT)}) s FROM documents WHERE regexp_matches(text, {_q(WORD_HINT)})),
+coarse AS (SELECT doc_id, i, s[i] raw FROM cut, unnest(range(1, len(s) + 1)) r(i)),
+parted AS (SELECT doc_id, i, CASE WHEN contains(raw, chr(10)) AND regexp_full_match({norm("raw")}, {_q(WRAPPED)}) THEN [raw] ELSE string_split(regexp_replace(raw, {_q(CAPITAL)}, chr(1) || '\\1', 'g'), chr(1)) END p FROM coarse),
+one AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 pos, p[j] raw FROM parted, unnest(range(1, len(p) + 1)) r(j)),
+norm AS (SELECT doc_id, pos, {norm("raw")} n FROM one),
+named AS (SELECT doc_id, pos, CASE {cases} END id FROM norm WHERE regexp_matches(n, {_q(SENTENCE_HINT)})),
 seqs AS (SELECT doc_id, count(*) n_sentences, string_agg(id, ',' ORDER BY pos) sentence_ids, string_agg(pos::VARCHAR, ',' ORDER BY pos) positions, string_agg('<' || id || '>', '' ORDER BY pos) rest FROM named WHERE id IS NOT NULL GROUP BY doc_id),
 r0 AS (SELECT doc_id, rest, []::VARCHAR[] lic FROM seqs), {", ".join(steps)}
 SELECT d.doc_id, coalesce(n_sentences, 0) n_sentences, coalesce(sentence_ids, '') sentence_ids, coalesce(positions, '') positions, coalesce(array_to_string(r.lic, ','), '') licenses,

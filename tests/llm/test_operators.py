@@ -76,6 +76,73 @@ def test_license_texts(spark, text, licenses, unused):
     assert (row.licenses, row.unused) == (licenses, unused)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE."""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU %sGeneral Public License as published by
+the Free Software Foundation%s either version %s of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU %sGeneral Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software."
+CANONICAL = [
+    (APACHE, "Apache-2.0"), (BSD_HEAD + BSD_TAIL, "BSD-2-Clause"), (BSD_HEAD + BSD_NAME + BSD_TAIL, "BSD-3-Clause"), (MIT, "MIT"), (MPL, "MPL-2.0"), (ISC, "ISC"),
+    (GPL % (":", "", ",", "3", ""), "GPL-3.0"), (GPL % (";", "", ";", "2", ""), "GPL-2.0"), (GPL % (":", "Lesser ", ",", "3", "Lesser "), "LGPL"), (GPL % (":", "Affero ", ",", "3", "Affero "), "AGPL"), (UNLICENSE, "Unlicense"),
+]
+
+
+def test_canonical_licenses(spark):
+    forms = [lambda t: t, lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */", lambda t: "\n".join("# " + x for x in t.split("\n")), lambda t: t.replace(" ", "  "), lambda t: "Copyright (c) 2020 Some One\n\n" + t]
+    texts = [(form(t), name) for t, name in CANONICAL for form in forms]
+    got = by_id(license_scan.report(docs(spark, [t for t, _ in texts])))
+    wrong = {(i, name, got[i].licenses, got[i].sentence_ids) for i, (_, name) in enumerate(texts) if got[i].licenses != name}
+    assert not wrong, wrong
+
+
 def test_license_rules_take_sentences_in_order(spark):
     row = license_scan.report(docs(spark, [MIT])).first()
     assert row.sentence_ids == "mit_grant,mit_notice,mit_warranty" and row.licenses == "MIT"
