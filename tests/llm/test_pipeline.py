@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm import mixing, token_output
 
-from .cases import docs, prose
+from .cases import docs, own_columns, prose, with_clashes
 from .test_operators import BENCH, plain_contamination, plain_metrics
 
 
@@ -46,12 +46,12 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 
 def test_stages_keep_columns(spark, tmp_path):
-    docs(spark, [prose(70, i) for i in range(20)]).write.parquet(f"{tmp_path}/documents.parquet")
+    with_clashes(docs(spark, [prose(70, i) for i in range(20)])).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], BENCH).write.parquet(f"{tmp_path}/benchmark.parquet")
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, frame, str(tmp_path))
-        assert out.columns == frame.columns
+        assert out.columns == frame.columns and out.count() > 10 and own_columns(out)
         assert stage(spark, frame.where(F.lit(False)), str(tmp_path)).count() == 0
 
 
