@@ -95,18 +95,15 @@ def representatives(cut: DataFrame, table: bytes) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs of representatives ``(d1, l1, d2, l2)``, the first one earlier, that pass all filters."""
     met = reps.select("doc_id", "line_no", "n", "map", "wide", F.posexplode("prefix").alias("i", "word"))  # dealt out by the join, which splits hot words
-    a = met.select("word", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "line_no", "n", "map", "wide", "i")))
-    b = met.select(F.col("word").alias("word2"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "map", "wide", "i")))
-    need = F.expr("(4 * (n1 + n2) + 8) div 9")
-    filters = (
-        (F.col("word") == F.col("word2"))
-        & ((F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (F.col("line_no1") < F.col("line_no2"))))
-        & (4 * F.col("n1") <= 5 * F.col("n2")) & (4 * F.col("n2") <= 5 * F.col("n1"))
-        & (F.least("i1", "i2") + 1 + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) - 1 >= need)
-        & (F.bit_count(F.col("map1").bitwiseXOR(F.col("map2"))) <= F.col("n1") + F.col("n2") - 2 * need)
-        & ((F.least("n1", "n2") <= FULL) | (F.bit_count(F.col("wide1").bitwiseXOR(F.col("wide2"))) <= F.col("n1") + F.col("n2") - 2 * need))
+    need = "((4 * (a.n + b.n) + 8) div 9)"
+    filters = F.expr(
+        f"""a.word = b.word AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.line_no < b.line_no))
+        AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n AND least(a.i, b.i) + least(a.n - a.i, b.n - b.i) >= {need}
+        AND bit_count(a.map ^ b.map) <= a.n + b.n - 2 * {need}
+        AND (least(a.n, b.n) <= {FULL} OR bit_count(a.wide ^ b.wide) <= a.n + b.n - 2 * {need})"""
     )
-    return a.join(b, filters).select(F.col("doc_id1").alias("d1"), F.col("line_no1").alias("l1"), F.col("doc_id2").alias("d2"), F.col("line_no2").alias("l2")).distinct()
+    ends = (F.col(f"{x}.{c}").alias(f"{c[0]}{k}") for k, x in ((1, "a"), (2, "b")) for c in ("doc_id", "line_no"))
+    return met.alias("a").join(met.alias("b"), filters).select(*ends).distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
