@@ -21,6 +21,8 @@ BUCKETS = 1 << 18
 _LOW = (1 << 56) - 1
 #: Lines of more words get a second parity map, as they fill the first.
 FULL = 40
+#: Pairs are verified in so many parts, one after another, as each pair carries a line's words through a shuffle.
+PARTS = 4
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -93,12 +95,16 @@ def representatives(cut: DataFrame, table: bytes) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs of representatives ``(d1, l1, d2, l2)``, the first one earlier, that pass all filters."""
+    """Pairs of representatives ``(d1, l1, d2, l2)``, the first one earlier, that pass all filters.
+
+    At the first word that two lines share, no more words are shared than either has from there on; so that bound is
+    the filter, and many pairs that meet again on later words fail it there.
+    """
     met = reps.select("doc_id", "line_no", "n", "map", "wide", F.posexplode("prefix").alias("i", "word"))  # dealt out by the join, which splits hot words
     need = "((4 * (a.n + b.n) + 8) div 9)"
     filters = F.expr(
         f"""a.word = b.word AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.line_no < b.line_no))
-        AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n AND least(a.i, b.i) + least(a.n - a.i, b.n - b.i) >= {need}
+        AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n AND least(a.n - a.i, b.n - b.i) >= {need}
         AND bit_count(a.map ^ b.map) <= a.n + b.n - 2 * {need}
         AND (least(a.n, b.n) <= {FULL} OR bit_count(a.wide ^ b.wide) <= a.n + b.n - 2 * {need})"""
     )
@@ -115,15 +121,21 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     words = materialize(lined.select("doc_id", "line_no", word_hashes(F.get("all", F.col("line_no"))).alias("words")).dropDuplicates(["doc_id", "line_no"]), "lines")
     one = words.select(F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("words").alias("w1"))
     two = words.select(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("words").alias("w2"))
-    both = pairs.join(one, ["d1", "l1"]).join(two, ["d2", "l2"])
-    return both.where(9 * F.size(F.array_intersect("w1", "w2")) >= 4 * (F.size("w1") + F.size("w2"))).select("d1", "l1", "d2", "l2")
+    found = None
+    for k in range(PARTS):
+        mine = F.pmod(F.xxhash64("d1", "l1"), F.lit(PARTS)) == k
+        both = pairs.where(mine).join(one.where(mine), ["d1", "l1"]).join(two, ["d2", "l2"])
+        similar = both.where(9 * F.size(F.array_intersect("w1", "w2")) >= 4 * (F.size("w1") + F.size("w2"))).select("d1", "l1", "d2", "l2")
+        similar = materialize(similar, "links")
+        found = similar if found is None else found.union(similar)
+    return found
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
     """Each line with a word: ``doc_id, line_no, n_links`` (similar classes) and ``removed``."""
     cut = lines(docs)
     reps = materialize(representatives(cut, frequency_table(docs)), "representatives")
-    found = materialize(links(docs, reps), "links")
+    found = links(docs, reps)
     ends = found.select(F.col("d1").alias("d"), F.col("l1").alias("l"), F.lit(False).alias("later")).union(found.select("d2", "l2", F.lit(True)))
     linked = ends.groupBy("d", "l").agg(F.count("*").alias("n_links"), F.bool_or("later").alias("later"))
     firsts = reps.select("k1", "k2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
