@@ -29,3 +29,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_KEPT: dict = {}
+
+
+def once(value, build):
+    """``build(value)``, made once for each Python worker and broadcast ``value`` and kept for the worker's later tasks."""
+    if id(value) not in _KEPT:
+        if len(_KEPT) > 3:
+            _KEPT.clear()
+        _KEPT[id(value)] = value, build(value)  # holding the value keeps its id from being given to another
+    return _KEPT[id(value)][1]

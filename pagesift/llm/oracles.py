@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, written from the definitions, not from the Spark plans.
 
 Sentence piece counts (op4), chunk digests (op5), byte-level ids (op6) and XXH64 fingerprints (op7) are no SQL
-functions; the tests compare those queries with brute-force versions.
+functions, and no SQL here searches edits (op13); the tests compare those queries with brute-force versions.
 """
 
 from __future__ import annotations
@@ -128,6 +128,22 @@ r AS (SELECT source, (k + mean * strength) / (n + strength) rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed,
  CASE WHEN rate > 0.5 THEN 'bad' WHEN rate > 0.25 THEN 'watched' ELSE 'good' END host_verdict, NOT base_failed AND NOT (soft_failed AND rate > 0.25) AND rate <= 0.5 kept FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 
+
+_EXACT = """
+WITH t AS (SELECT doc_id, coalesce(text, '') body FROM documents)
+SELECT doc_id, max(doc_id) OVER g keep_id, count(*) OVER g group_size, doc_id = max(doc_id) OVER g kept, sha256(body) text_sha256 FROM t WINDOW g AS (PARTITION BY body)"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_RANKED = f"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}'), []) w FROM documents),
+st AS (SELECT count(*) FILTER (WHERE len(w) > 0) n, sum(len(w))::BIGINT l FROM d),
+tf AS (SELECT r, t, count(*) tf FROM (SELECT r, unnest(w) t FROM d) GROUP BY ALL),
+it AS (SELECT item_id, t, count(*) c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) t FROM benchmark) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT w FROM (SELECT t, count(*) df FROM tf GROUP BY t), st),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * n) // l m FROM d, st WHERE len(w) > 0),
+sc AS (SELECT item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT score FROM it JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT "rank", doc_id, score FROM sc WHERE score > 0 QUALIFY "rank" <= 10"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op2_decontaminate": _DECONTAMINATE,
@@ -135,4 +151,6 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": _LINES,
     "op9_mixing": _mixing(),
     "op10_quality": _QUALITY,
+    "op11_exact_dedup": _EXACT,
+    "op12_ranked_search": _RANKED,
 }

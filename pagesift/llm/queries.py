@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, token_count, token_output, warc
+from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, ranked_search, repair, simhash, substring_dedup, token_count, token_output, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -47,11 +47,23 @@ def op10_quality(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repair(spark, sf_dir):
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_warc, op4_token_count, op5_substring_dedup, op6_token_output, op7_simhash, op8_line_dedup, op9_mixing, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_warc, op4_token_count, op5_substring_dedup, op6_token_output, op7_simhash, op8_line_dedup, op9_mixing, op10_quality, op11_exact_dedup, op12_ranked_search, op13_repair, pipeline)}
 __all__ = ["ORACLES", "QUERIES"]
