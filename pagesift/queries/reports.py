@@ -206,15 +206,50 @@ def dup1_similar_pairs(spark, sf):
     return rounded(vec_pairs(spark, sf), n=4)
 
 
+def with_copies(spark, sf):
+    """The embeddings, and each once more with a first number a twentieth larger."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return e.union(e.select(F.col("vec_id") + 10_000_000, F.transform("embedding", lambda x, i: F.when(i == 0, x * F.lit(1.05).cast("float")).otherwise(x))))
+
+
+_COPIES = "copies AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, list_prepend((embedding[1] * 1.05::FLOAT)::FLOAT, embedding[2:]) FROM embeddings), near AS (SELECT a.vec_id a, b.vec_id b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) cos FROM copies a JOIN copies b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.98)"
+
+
+@query(f"WITH {_COPIES} SELECT a, b, round(cos, 5) cos FROM near")
+def dup1_near_copies(spark, sf):
+    return rounded(D.similar_pairs(with_copies(spark, sf), 0.98, "vec_id"), n=5)
+
+
+@query("SELECT 2 * count(*) vectors, true pruned FROM embeddings")
+def dup1_pruning(spark, sf):
+    """Whether far fewer than all pairs meet at the threshold that is in use."""
+    return D.pruning_report(with_copies(spark, sf), 0.98, "vec_id").select("vectors", (F.col("share") < 0.5).alias("pruned"))
+
+
+@query(f"WITH {_COPIES} SELECT count(*) pairs, true enough FROM near")
+def dup1_lsh_recall(spark, sf):
+    """The exact pairs, and whether random projections find at least nine in ten of them and nothing else."""
+    e = with_copies(spark, sf)
+    exact = materialize(D.similar_pairs(e, 0.98, "vec_id").select("a", "b"), "exact")
+    found = D.lsh_pairs(e, 0.98, "vec_id").select("a", "b", F.lit(True).alias("f"))
+    both = exact.withColumn("e", F.lit(True)).join(found, ["a", "b"], "full")
+    return both.agg(F.count("e").alias("pairs"), (F.count_if(F.col("e") & F.col("f")) >= 0.9 * F.count("e")).alias("enough"))
+
+
 _COMP = f"{_PAIRSQL}, edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT vec_id s, vec_id t FROM embeddings UNION SELECT s, b FROM reach JOIN edges ON t = a), comp AS (SELECT s vec_id, min(t) leader FROM reach GROUP BY 1)"
 
 
 @query(f"WITH RECURSIVE {_COMP} SELECT * FROM comp")
 def dup2_components(spark, sf):
-    return D.dup_components(vec_pairs(spark, sf), table(spark, sf, "embeddings"), "vec_id")
+    e = table(spark, sf, "embeddings")
+    return D.dup_components(D.similar_links(e, 0.4, "vec_id"), e, "vec_id")
 
 
-@query()
+#: The sequential loop as a recursion: one step an id, with the list of leaders so far.
+_LEADERS = f"{_PAIRSQL}, ids AS (SELECT vec_id id, row_number() OVER (ORDER BY vec_id) k FROM embeddings), near AS (SELECT k, id, coalesce(list(a) FILTER (WHERE a IS NOT NULL), []) nb FROM ids LEFT JOIN pairs ON b = id GROUP BY ALL), walk AS (SELECT 0::BIGINT k, []::BIGINT[] leaders UNION ALL SELECT walk.k + 1, CASE WHEN len(list_intersect(leaders, nb)) > 0 THEN leaders ELSE list_append(leaders, id) END FROM walk JOIN near ON near.k = walk.k + 1), done AS (SELECT unnest(leaders) l FROM walk WHERE k = (SELECT count(*) FROM ids)), joins AS (SELECT b, arg_max(a, (cos, -a)) l FROM pairs JOIN done ON a = l GROUP BY b), led AS (SELECT id vec_id, coalesce(l, id) leader FROM ids LEFT JOIN joins ON b = id)"
+
+
+@query(f"WITH RECURSIVE {_LEADERS} SELECT vec_id, leader FROM led")
 def dup3_leaders(spark, sf):
     return D.dup_leaders(vec_pairs(spark, sf), table(spark, sf, "embeddings"), "vec_id")
 
@@ -252,10 +287,24 @@ def dup7_weights(spark, sf):
     return rounded(D.dup_weights(sided_groups(spark, sf))).select("vec_id", "weight")
 
 
-@query("WITH n AS (SELECT a.vec_id, a.label la, arg_max(b.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) lb FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2), c AS (SELECT label, count(*) n FROM embeddings GROUP BY 1) SELECT count(*) pages, round(avg((la = lb)::INT), 6) same_category, round(avg(((la < 4) = (lb < 4))::INT), 6) same_keep, (SELECT round(sum((n / 1.0 / (SELECT sum(n) FROM c)) ** 2), 6) FROM c) chance_category FROM n")
-def dup8_nn_diagnosis(spark, sf):
+def _nn_sql(where: str) -> str:
+    return f"WITH e AS (SELECT *, vec_id // 5 document, vec_id % 7 permit FROM embeddings), n AS (SELECT a.vec_id, a.label la, a.document da, a.permit pa, arg_max(struct_pack(l := b.label, d := b.document, p := b.permit), list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) x FROM e a JOIN e b ON {where} GROUP BY ALL), c AS (SELECT label, count(*) n FROM embeddings GROUP BY 1) SELECT count(*) pages, round(avg((la = x.l)::INT), 6) same_category, round(avg(((la < 4) = (x.l < 4))::INT), 6) same_keep, round(avg((da = x.d)::INT), 6) same_document, round(avg((pa = x.p)::INT), 6) same_permit, (SELECT round(sum((n / 1.0 / (SELECT sum(n) FROM c)) ** 2), 6) FROM c) chance_category FROM n"
+
+
+def _nn(spark, sf, group=None):
     e = table(spark, sf, "embeddings")
-    return rounded(D.nn_diagnosis(e.select("vec_id", "embedding"), e.select("vec_id", F.col("label").alias("category"), (F.col("label") < 4).alias("keep")), "vec_id"))
+    known = e.select("vec_id", F.col("label").alias("category"), (F.col("label") < 4).alias("keep"), F.expr("vec_id div 5").alias("document"), (F.col("vec_id") % 7).alias("permit"))
+    return rounded(D.nn_diagnosis(e.select("vec_id", "embedding"), known, "vec_id", group=group, same=("document", "permit")))
+
+
+@query(_nn_sql("a.vec_id <> b.vec_id"))
+def dup8_nn_diagnosis(spark, sf):
+    return _nn(spark, sf)
+
+
+@query(_nn_sql("a.permit <> b.permit"))
+def dup8_cross_permit(spark, sf):
+    return _nn(spark, sf, "permit")
 
 
 @query("SELECT sha256(text) sha256, count(*) n, min(doc_id) first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING n > 1")
@@ -263,7 +312,10 @@ def dup9_exact_dups(spark, sf):
     return D.exact_dups(table(spark, sf, "documents"))
 
 
-@query()
+_SPLIT6 = f"{_LEADERS}, {TRUTH}, g AS (SELECT permit_num, row_number() OVER (ORDER BY {hash_sql('permit_num')}, permit_num) rn, count(*) OVER () n FROM (SELECT DISTINCT permit_num FROM truth)), s AS (SELECT page_id, t.permit_num, CASE WHEN rn <= CASE WHEN n < 2 THEN n ELSE greatest(1, least(round_even(0.8::DOUBLE * n, 0), n - 1)) END THEN 'train' ELSE 'eval' END side, coalesce(leader, page_id) leader FROM truth t JOIN g USING (permit_num) LEFT JOIN led ON vec_id = page_id)"
+
+
+@query(f"WITH RECURSIVE {_SPLIT6} SELECT page_id, permit_num, side, leader FROM s QUALIFY side = 'train' OR row_number() OVER (PARTITION BY leader, side ORDER BY page_id) = 1")
 def spl6_canonical_split(spark, sf):
     e = table(spark, sf, "embeddings")
     leaders = D.dup_leaders(vec_pairs(spark, sf), e, "vec_id").withColumnRenamed("vec_id", "page_id")
