@@ -8,17 +8,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import l2_normalize
-from ..plans.storage import materialize
+from ..plans.storage import lookup_join, materialize, spread
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def with_tokens(docs: DataFrame, text="text", out="t") -> DataFrame:
+    """Add ``out``: the lower-case words of two or more characters, then the pairs of neighbouring words; none for null."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    pairs = F.when(F.size(out) > 1, F.zip_with(F.slice(out, F.lit(1), F.size(out) - 1), F.slice(out, F.lit(2), F.size(out) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("cast(array() as array<string>)"))
+    return docs.withColumn(out, words).withColumn(out, F.concat(out, pairs))
+
+
+def token_lists(docs: DataFrame, key="page_id", text="text") -> DataFrame:
+    """``key, t``: the words and pairs of each text that is not null."""
+    return with_tokens(docs.where(F.col(text).isNotNull()).select(key, text), text).select(key, "t")
+
+
 def terms(docs: DataFrame, key="page_id", text="text") -> DataFrame:
-    """Long form ``key, term, tf``: lower-case words of two or more characters and pairs of neighbouring words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    listed = docs.where(F.col(text).isNotNull()).select(key, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("cast(array() as array<string>)"))
-    return listed.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Long form ``key, term, tf`` of the words and pairs of each text."""
+    return token_lists(docs, key, text).select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 @dataclass
@@ -29,31 +38,52 @@ class Tfidf:
     key: str
     text: str
 
+    def cells(self, docs: DataFrame) -> DataFrame:
+        """``key, norm, cells``: each text's known terms as ``(rank, w)`` with w = tf * idf, and their norm.
+
+        Terms that the vocabulary lacks go before the only exchange, which is by key: the counts, weights and norm of a
+        text are then made in place.
+        """
+        known = lookup_join(token_lists(docs, self.key, self.text).select(self.key, F.explode("t").alias("term")), self.vocab.select("term", "idf", "rank"), "term")
+        counted = known.select(self.key, "rank", "idf").repartition(self.key).groupBy(self.key, "rank").agg((F.count("*") * F.max("idf")).alias("w"))
+        return counted.groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("rank", "w")).alias("cells"))
+
     def transform(self, docs: DataFrame) -> DataFrame:
         """Long form ``key, term, rank, tfidf``, L2-normalised by row; rows without known terms have none."""
-        found = terms(docs, self.key, self.text).join(self.vocab.select("term", "idf", "rank"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-        norms = found.groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return found.join(norms, self.key).select(self.key, "term", "rank", (F.col("w") / F.col("norm")).alias("tfidf"))
+        long = self.cells(docs).select(self.key, "norm", F.inline("cells"))
+        named = lookup_join(long, self.vocab.select("rank", "term"), "rank")
+        return named.select(self.key, "term", "rank", (F.col("w") / F.col("norm")).alias("tfidf"))
+
+    def vectors(self, docs: DataFrame, size: int | None = None) -> DataFrame:
+        """Add ``features``, one sparse vector for each row of ``docs``, zero without known terms: all map-side, in the JVM.
 
-    def vectors(self, docs: DataFrame, size: int) -> DataFrame:
-        """One sparse vector of ``size`` for each row of ``docs``; zero without known terms."""
-        from pyspark.ml.linalg import SparseVector, VectorUDT
+        The vocabulary, at most the terms it was fitted for, is sent along; ``size`` widens the vectors.
+        """
+        from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
 
-        long = self.transform(docs).groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), "tfidf"))).alias("cells"))
-        make = F.udf(lambda cells: SparseVector(size, [int(c[0]) for c in cells or []], [float(c[1]) for c in cells or []]), VectorUDT())
-        return docs.join(long, self.key, "left").withColumn("features", make("cells")).drop("cells")
+        rows = self.vocab.orderBy("rank").select("term", "idf").collect()
+        more = max(1, size or 0) - len(rows)
+        names, idf = [r.term for r in rows] + [f"\0{k}" for k in range(more)], [r.idf for r in rows] + [0.0] * max(0, more)
+        listed = with_tokens(docs, self.text, "_t")
+        counted = CountVectorizerModel.from_vocabulary(names, inputCol="_t", outputCol="_tf").transform(listed)
+        weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_x").transform(counted)
+        return Normalizer(p=2.0, inputCol="_x", outputCol="features").transform(weighed).drop("_t", "_tf", "_x")
 
 
 def vocab_stats(train: DataFrame, key="page_id", text="text", min_df: int = 2, top: int = 30_000) -> DataFrame:
     """``term, tf, df, idf, rank`` of the ``top`` terms by total count (ties by term) in at least ``min_df`` rows.
 
-    idf is ln((1 + n) / (1 + df)) + 1 with n the rows of ``train``.
+    idf is ln((1 + n) / (1 + df)) + 1 with n the rows of ``train``, each of which is a document of its own. Both counts
+    combine before the one exchange, which is by term.
     """
-    n = train.count()
-    counts = terms(train, key, text).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= min_df)
-    best = counts.orderBy(F.desc("tf"), "term").limit(top)
     from pyspark.sql import Window
 
+    n = train.count()
+    every = F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    counts = token_lists(train, key, text).select(F.inline(F.concat(every, once))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
+    best = counts.orderBy(F.desc("tf"), "term").limit(top)
     out = best.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tf"), "term")))
     return materialize(out, "vocab")
 
@@ -63,37 +93,104 @@ def fit_tfidf(train: DataFrame, key="page_id", text="text", min_df: int = 2, top
     return Tfidf(vocab_stats(train, key, text, min_df, top), key, text)
 
 
+def sparse_rows(column):
+    """(places, values) of each vector of an Arrow column of vectors; dense vectors have all places."""
+    import numpy as np
+
+    for v in column:
+        values = v["values"].values.to_numpy(zero_copy_only=False)
+        yield (v["indices"].values.to_numpy(zero_copy_only=False) if v["indices"].is_valid else np.arange(len(values))), values
+
+
 @dataclass
 class Svd:
-    """Right singular vectors of the train rows, not centred."""
+    """Right singular vectors of the train rows (an array of features x k) and the singular values, not centred."""
 
-    v: list
+    v: object
     singular: list
 
     def transform(self, df: DataFrame, features="features", out="svd") -> DataFrame:
-        """Add the projection of each row as an array of doubles."""
+        """Add the projection of each row as an array of doubles: one Arrow pass over the cells that are not zero."""
+        from pyspark.sql.functions import arrow_udf
+
         sent = df.sparkSession.sparkContext.broadcast(self.v)
 
-        @F.pandas_udf("array<double>")
-        def project(i: pd.Series, x: pd.Series) -> pd.Series:
-            import numpy as np
+        @arrow_udf("array<double>")
+        def project(column):
+            import pyarrow as pa
+
+            v = sent.value
+            return pa.array([(x @ v[i]).tolist() for i, x in sparse_rows(column)], pa.list_(pa.float64()))
+
+        return df.withColumn(out, project(features))
+
+
+#: Places of the matrix that are added up and sent as one.
+SLAB = 512
+
 
-            v = np.asarray(sent.value)
-            return pd.Series([(np.asarray(b, float) @ v[np.asarray(a, int)]).tolist() if len(a) else [0.0] * v.shape[1] for a, b in zip(i, x)])
+def _gram_times(rows: DataFrame, v):
+    """A'A v for the vectors A of ``rows``: each task adds up its own, tasks are added by slabs of ``SLAB`` places as a stream."""
+    import numpy as np
 
-        cells = F.udf(lambda v: ([int(i) for i in v.indices], [float(x) for x in v.values]) if hasattr(v, "indices") else (list(range(len(v))), [float(x) for x in v]), "struct<i:array<int>,x:array<double>>")
-        return df.withColumn("_c", cells(features)).withColumn(out, project("_c.i", "_c.x")).drop("_c")
+    sent = rows.sparkSession.sparkContext.broadcast(v)
 
+    def own(batches):
+        import pyarrow as pa
 
-def fit_svd(train: DataFrame, features="features", k: int = 256) -> Svd:
-    """Truncated SVD of a vector column by distributed power iteration; at most the feature count."""
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+        v = sent.value
+        z = np.zeros(v.shape)
+        some = False
+        for batch in batches:
+            for i, x in sparse_rows(batch.column(0)):
+                z[i] += x[:, None] * (x @ v[i])[None, :]
+                some = True
+        for k in range(0, len(z), SLAB) if some else ():
+            yield pa.RecordBatch.from_arrays([pa.array([k // SLAB], pa.int32()), pa.array([z[k : k + SLAB].tobytes()], pa.binary())], names=["slab", "z"])
 
-    rows = train.select(features).rdd.map(lambda r: Old.fromML(r[0]))
-    matrix = RowMatrix(rows)
-    found = matrix.computeSVD(min(k, matrix.numCols()), computeU=False)
-    return Svd(found.V.toArray().tolist(), found.s.toArray().tolist())
+    def added(batches):
+        import pyarrow as pa
+
+        slab, total = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slab", "z"])
+        for batch in batches:
+            for k, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(z)
+                if k != slab:
+                    if slab is not None:
+                        yield done()
+                    slab, total = k, np.zeros(len(part))
+                total += part
+        if slab is not None:
+            yield done()
+
+    kind = "slab int, z binary"
+    parts = rows.mapInArrow(own, kind).repartition("slab").sortWithinPartitions("slab").mapInArrow(added, kind)
+    z = np.zeros(v.shape)
+    for r in parts.toLocalIterator():
+        z[r.slab * SLAB : (r.slab + 1) * SLAB] = np.frombuffer(r.z).reshape(-1, v.shape[1])
+    return z
+
+
+def fit_svd(train: DataFrame, features="features", k: int = 256, passes: int = 4, extra: int = 32, seed: int = 42) -> Svd:
+    """Truncated SVD of a vector column by randomised block iteration (Halko, Martinsson and Tropp 2011).
+
+    A block of k + ``extra`` random directions is multiplied by A'A in each of ``passes`` passes over the rows and made
+    orthonormal on the driver; one more pass gives the values and vectors within that space. The driver and each task
+    hold arrays of features x (k + extra), whatever the number of rows.
+    """
+    import numpy as np
+
+    rows = materialize(spread(train.select(F.col(features).alias("x"))), "matrix")
+    first = rows.first()
+    size = len(first["x"]) if first else 0
+    width = min(size, k + extra)
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0] if size else np.zeros((0, 0))
+    for _ in range(passes if width < size else 0):
+        v = np.linalg.qr(_gram_times(rows, v))[0]
+    values, turn = np.linalg.eigh(v.T @ _gram_times(rows, v)) if size else (np.zeros(0), v)
+    top = np.argsort(-values)[: min(k, size)]
+    return Svd(v @ turn[:, top], np.sqrt(np.maximum(0, values[top])).tolist())
 
 
 def concat_blocks(df: DataFrame, *blocks: str, out="features") -> DataFrame:

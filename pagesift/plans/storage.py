@@ -46,6 +46,12 @@ def materialize(df: DataFrame, name: str = "table", batch: int | None = None, **
     return written
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer parts than there are, as a small file of one row group does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for what is planned and run inside."""

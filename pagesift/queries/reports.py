@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_frac
 from ..operators import aggregates as A, dedup as D, evaluate as E, features as FE, incremental as I, joins as J, models as M, sampling as SA, splits as SP, windows as W
-from ..plans.storage import materialize, scratch_path
+from ..plans.storage import materialize, scratch_path, spread
 from ..sources import io
 from ..sources.schemas import CATEGORIES
 from ..streaming import tables as ST
@@ -328,7 +328,7 @@ _SRC = "src AS (SELECT doc_id page_id, text, doc_id % 4 > 0 train FROM documents
 
 
 def tfidf(spark, sf):
-    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "page_id")
+    d = spread(table(spark, sf, "documents").withColumnRenamed("doc_id", "page_id"))
     return d, FE.fit_tfidf(d.where("page_id % 4 > 0"), top=30000)
 
 
@@ -345,9 +345,11 @@ def fea1_tfidf(spark, sf):
 
 @query()
 def fea2_svd(spark, sf):
-    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "page_id")
-    vectors = FE.fit_tfidf(d.where("page_id % 4 > 0"), top=3000).vectors(d.select("page_id", "text"), 3000)
-    return FE.fit_svd(vectors.where("page_id % 4 > 0"), k=16).transform(vectors).select("page_id", F.size("svd").alias("n"))
+    """All documents' 256 places in the space fitted on train, and the share of their length that it keeps."""
+    d, fitted = tfidf(spark, sf)
+    vectors = materialize(fitted.vectors(d.select("page_id", "text")).drop("text"), "vectors")
+    placed = FE.fit_svd(vectors.where("page_id % 4 > 0"), k=256).transform(vectors)
+    return placed.select("page_id", "svd", F.round(F.aggregate("svd", F.lit(0.0), lambda s, x: s + x * x), 3).alias("kept"))
 
 
 @query("SELECT vec_id, len(embedding) * 2 n, round(sqrt(2), 5) norm FROM embeddings")
@@ -358,13 +360,16 @@ def fea3_concat_blocks(spark, sf):
     return rounded(both.select("vec_id", F.size("features").cast("long").alias("n"), norm("features").alias("norm")), n=5)
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, list_concat(embedding, list_reverse(embedding))::DOUBLE[] x FROM embeddings) SELECT vec_id, len(x)::INT n, round(list_sum(list_transform(x, lambda v, i: v * i)), 4) placed FROM e")
 def fea4_hstack(spark, sf):
+    """The length of both vectors side by side, and the sum of all values times their places."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    e = table(spark, sf, "embeddings").withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
-    both = FE.hstack_sparse(e.withColumn("w", F.col("v")), "v", "w")
-    return both.select("vec_id", F.size(vector_to_array("features")).alias("n"))
+    vector = lambda c: array_to_vector(c.cast("array<double>"))
+    e = table(spark, sf, "embeddings").select("vec_id", vector(F.col("embedding")).alias("v"), vector(F.reverse("embedding")).alias("w"))
+    both = FE.hstack_sparse(e, "v", "w").withColumn("x", vector_to_array("features"))
+    placed = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rounded(both.select("vec_id", F.size("x").alias("n"), placed.alias("placed")), n=4)
 
 
 @query("SELECT (i - 1)::INT i, round(avg(x), 5) mean, round(stddev_pop(x), 5) std, round(max(abs(x))::DOUBLE, 5) max_abs FROM (SELECT unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM embeddings) GROUP BY i")
@@ -372,13 +377,14 @@ def fea5_standard_stats(spark, sf):
     return rounded(FE.column_stats(table(spark, sf, "embeddings")), n=5)
 
 
-@query("SELECT count(*) n, 1.0::DOUBLE top FROM embeddings")
+@query("WITH c AS (SELECT unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i, vec_id FROM embeddings), m AS (SELECT i, max(abs(x)) m FROM c GROUP BY i) SELECT vec_id, round(sum(CASE WHEN m > 0 THEN x / m ELSE 0 END * i), 4) placed FROM c JOIN m USING (i) GROUP BY vec_id")
 def fea6_max_abs(spark, sf):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     e = table(spark, sf, "embeddings").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     scaled = FE.fit_scaler(e, "max_abs").transform(e)
-    return rounded(scaled.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform(vector_to_array("scaled"), lambda x: F.abs(x)))).alias("top")))
+    placed = F.aggregate(F.transform(vector_to_array("scaled"), lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rounded(scaled.select("vec_id", placed.alias("placed")), n=4)
 
 
 @query(f"WITH {TRUTH} SELECT page_id, (dense_rank() OVER (ORDER BY category) - 1)::DOUBLE \"label\" FROM truth")
@@ -404,9 +410,13 @@ def letters(texts):
     return out
 
 
-@query()
+@query("SELECT doc_id, 'letters' backbone, 26::INT n, len(list_distinct(regexp_extract_all(lower(text), '[a-z]')))::INT seen, true whole FROM documents WHERE text IS NOT NULL")
 def fea9_embed(spark, sf):
-    return FE.embed(table(spark, sf, "documents"), letters, "letters", key="doc_id", content="text").select("doc_id", "backbone", F.size("embedding").alias("n"))
+    """Each text's number of different letters, and whether their shares add up to one within half precision."""
+    e = FE.embed(table(spark, sf, "documents"), letters, "letters", key="doc_id", content="text")
+    seen = F.size(F.filter("embedding", lambda x: x > 0)).alias("seen")
+    whole = F.abs(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x) - 1) < 0.01
+    return e.select("doc_id", "backbone", F.size("embedding").alias("n"), seen, (whole | (F.col("seen") == 0)).alias("whole"))
 
 
 def letter_features(spark, sf):
