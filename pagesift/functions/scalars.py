@@ -31,15 +31,89 @@ def upgrade_https(c) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), "^http://", "https://")
 
 
-#: Character references by name; &amp; goes last so that nothing is resolved twice.
-NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: A character reference: a number in one of two bases, or a name, with or without a semicolon.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _names() -> tuple[dict[str, str], dict[str, str]]:
+    """All names of HTML 5 with what they stand for, and those of them that need no semicolon."""
+    from html.entities import html5
+
+    return html5, {k: v for k, v in html5.items() if not k.endswith(";")}
+
+
+def _literal_map(table: dict[str, str]) -> Column:
+    import json
+
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # folded to one literal
+
+
+def _utf8(code: Column) -> Column:
+    """The character of a code point; Spark's ``char`` stops at 255."""
+    part = lambda shift, lead=0x80, mask=0x3F: F.lpad(F.hex(F.shiftright(code, shift).bitwiseAND(mask).bitwiseOR(lead)), 2, "0")
+    octets = (
+        F.when(code < 0x80, part(0, 0, 0x7F))
+        .when(code < 0x800, F.concat(part(6, 0xC0, 0x1F), part(0)))
+        .when(code < 0x10000, F.concat(part(12, 0xE0, 0x0F), part(6), part(0)))
+        .otherwise(F.concat(part(18, 0xF0, 0x07), part(12), part(6), part(0)))
+    )
+    return F.decode(F.unhex(octets), "UTF-8")
+
+
+def _number(ref: Column) -> Column:
+    """What a numeric reference without its ``&`` stands for: Windows-1252 for 128 to 159, U+FFFD for none, empty for what HTML forbids."""
+    digits = F.regexp_replace(ref, r"^#[xX]?0*|;$", "")
+    beyond = F.length(digits) > 8
+    short = F.when(beyond | (digits == ""), "0").otherwise(digits)
+    code = F.when(ref.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short).cast("long")
+    windows = {str(k): bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
+    forbidden = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (
+        F.when(beyond | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+        .when(code.between(0x80, 0x9F), _literal_map(windows)[code.cast("string")])
+        .when(forbidden, "")
+        .otherwise(_utf8(code))
+    )
+
+
+def _named(ref: Column) -> Column:
+    """What a name without its ``&`` stands for: as a whole, or its longest beginning that needs no semicolon; else as it is."""
+    every, old = _names()
+    sizes = F.filter(F.sequence(F.length(ref) - 1, F.lit(2), F.lit(-1)), lambda n: _literal_map(old)[F.substring(ref, F.lit(1), n)].isNotNull())
+    begins = F.when(F.length(ref) > 2, F.get(sizes, F.lit(0)))
+    begun = F.concat(_literal_map(old)[F.substring(ref, F.lit(1), begins)], F.substring(ref, begins + 1, F.length(ref)))
+    return F.coalesce(_literal_map(every)[ref], begun, F.concat(F.lit("&"), ref))
 
 
 def html_unescape(c) -> Column:
-    out = col(c)
-    for name, value in NAMED:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+    """Every character reference resolved once, by number or by any name of HTML 5, in the JVM.
+
+    The text is split at its references, each is resolved, and both are put together again. A text without ``&`` is
+    not split.
+    """
+    text = col(c)
+    between = F.split(text, REFERENCE, -1)
+    refs = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    known = F.transform(refs, lambda r: F.when(r.startswith("#"), _number(r)).otherwise(_named(r)))
+    whole = F.array_join(F.zip_with(between, known, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
+def metrics_json(metrics: dict[str, Column | str], other: Column | None = None) -> Column:
+    """A JSON object of metrics, without those that are null, and of further entries (a map of names to variants)."""
+    pairs = [x for k, v in metrics.items() for x in (F.lit(k), col(v).cast("double").cast("variant"))]
+    known = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    return F.to_json(known if other is None else F.map_concat(known, F.map_filter(other, lambda k, _: ~k.isin(*metrics))))
+
+
+def parse_metrics(c, known: tuple[str, ...]) -> Column:
+    """A struct of the ``known`` metrics as doubles, null where missing or no number, and ``other``, all further entries as variants.
+
+    Null for what is no JSON object. ``metrics_json`` of the parts gives the object back.
+    """
+    entries = F.from_json(col(c), "map<string,variant>")
+    number = lambda k: F.try_variant_get(F.element_at(entries, k), "$", "double").alias(k)
+    return F.when(entries.isNotNull(), F.struct(*(number(k) for k in known), F.map_filter(entries, lambda k, _: ~k.isin(*known)).alias("other")))
 
 
 def clean_filename(c) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import hash_frac
+from ..plans.storage import materialize
 from .aggregates import permit_stats
 
 
@@ -13,15 +14,48 @@ def hash_split(df: DataFrame, group: str, seed: int = 42, eval_frac: float = 0.2
     return df.withColumn(out, F.when(hash_frac(group, seed) < eval_frac, "eval").otherwise("train"))
 
 
-def count_split(df: DataFrame, group: str, seed: int = 42, train_frac: float = 0.8) -> DataFrame:
-    """Each group with its side: the first ``round(train_frac * n)`` by hash are train, at least one eval if n > 1.
+#: Bins of a histogram over hashes, all that the driver sees of a selection.
+BINS = 4096
+
+
+def kth_by_hash(groups: DataFrame, group: str, k: int, h: str = "_h") -> tuple | None:
+    """The ``k``-th row (1-based) by hash ``h`` in [0, 1] and then ``group``, as (hash, group); None for k < 1.
 
-    Works on one row for each group.
+    Found by refining histograms: the bin that holds it is cut again until it has few rows or a single hash, so no task
+    sorts all groups. ``groups`` is read once for each refinement: twice for up to 10^9 groups.
     """
-    groups = df.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_frac(group, seed))
-    placed = groups.withColumn("_rn", F.row_number().over(Window.orderBy("_h", group))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    cut = F.when(F.col("_n") < 2, F.col("_n")).otherwise(F.greatest(F.lit(1), F.least(F.bround(F.lit(train_frac) * F.col("_n")), F.col("_n") - 1)))
-    return placed.select(group, F.when(F.col("_rn") <= cut, "train").otherwise("eval").alias("side"))
+    if k < 1:
+        return None
+    low, width = 0.0, 1.0
+    while True:
+        upper = F.col(h) < low + width if low + width < 1 else F.lit(True)
+        inside = groups.where((F.col(h) >= low) & upper)
+        counts = inside.groupBy(F.least(F.floor((F.col(h) - low) / width * BINS), F.lit(BINS - 1)).alias("bin")).count().collect()
+        for number, n in sorted(tuple(r) for r in counts):
+            if k <= n:
+                break
+            k -= n
+        low, width = low + number * width / BINS, width / BINS
+        if n <= BINS or width < 2.0**-40:
+            break
+    upper = F.col(h) < low + width if low + width < 1 else F.lit(True)
+    row = groups.where((F.col(h) >= low) & upper).orderBy(h, group).limit(k).orderBy(F.desc(h), F.desc(group)).first()
+    return (row[h], row[group])
+
+
+def upto(place: tuple | None, group: str, h: str = "_h"):
+    """Whether a row is at or before the (hash, group) of ``kth_by_hash``."""
+    if place is None:
+        return F.lit(False)
+    return (F.col(h) < place[0]) | ((F.col(h) == place[0]) & (F.col(group) <= F.lit(place[1])))
+
+
+def count_split(df: DataFrame, group: str, seed: int = 42, train_frac: float = 0.8) -> DataFrame:
+    """Each group with its side: the first ``round(train_frac * n)`` by hash are train (half to even), at least one eval if n > 1."""
+    groups = materialize(df.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_frac(group, seed)), "groups")
+    n = groups.count()
+    cut = n if n < 2 else max(1, min(round(train_frac * n), n - 1))
+    return groups.select(group, F.when(upto(kth_by_hash(groups, group, cut), group), "train").otherwise("eval").alias("side"))
 
 
 def frozen_split(truth: DataFrame, group: str = "permit_num", finish: str = "finish", seed: int = 42, eval_frac: float = 0.25, whale: int = 300, min_groups: int = 8, min_finish: int = 15) -> DataFrame:
@@ -29,24 +63,26 @@ def frozen_split(truth: DataFrame, group: str = "permit_num", finish: str = "fin
 
     Groups over ``whale`` pages are train. Of the others the lowest ``round(eval_frac * n)`` by hash are eval; then
     groups with finish pages follow in hash order until there are ``min_groups`` groups and ``min_finish`` finish
-    pages in eval. Works on one row for each group.
+    pages in eval. The rank is a selection; each group that follows adds at least one group and page, so those that
+    may follow are the first ``max(min_groups, min_finish)`` by hash, and only they are ordered.
     """
     stats = permit_stats(truth.where(F.col(group).isNotNull()), group, finish).withColumn("whale", F.col("pages") > whale)
-    small = stats.where("NOT whale").withColumn("_h", hash_frac(group, seed))
-    order = Window.orderBy("_h", group)
-    placed = small.withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    placed = placed.withColumn("_in", F.col("_rn") <= F.bround(F.lit(eval_frac) * F.col("_n")))
-    every = Window.partitionBy()
-    placed = placed.withColumn("_n0", F.count_if("_in").over(every)).withColumn("_f0", F.coalesce(F.sum(F.when(F.col("_in"), F.col("finish_pages"))).over(every), F.lit(0)))
-    more = ~F.col("_in") & (F.col("finish_pages") > 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    c = F.coalesce(F.sum(more.cast("int")).over(before), F.lit(0))
-    s = F.coalesce(F.sum(F.when(more, F.col("finish_pages")).otherwise(0)).over(before), F.lit(0))
-    moved = more & ((F.col("_n0") + c < min_groups) | (F.col("_f0") + s < min_finish))
-    chosen = placed.withColumn("moved", moved).withColumn("side", F.when(F.col("_in") | moved, "eval").otherwise("train"))
-    names = [group, "pages", "finish_pages", "whale", "moved", "side"]
-    whales = stats.where("whale").withColumn("moved", F.lit(False)).withColumn("side", F.lit("train"))
-    return chosen.select(*names).unionByName(whales.select(*names))
+    stats = materialize(stats.withColumn("_h", hash_frac(group, seed)), "groups")
+    small = stats.where("NOT whale")
+    place = kth_by_hash(small, group, round(eval_frac * small.count()))
+    inside = upto(place, group)
+    begun = small.where(inside).agg(F.count("*").alias("n"), F.coalesce(F.sum("finish_pages"), F.lit(0)).alias("f")).first()
+    few = small.where(~inside & (F.col("finish_pages") > 0)).orderBy("_h", group).limit(max(min_groups, min_finish)).select(group, "finish_pages").collect()
+    moved, n, f = [], begun["n"], begun["f"]
+    for name, pages in few:
+        if n >= min_groups and f >= min_finish:
+            break
+        moved.append(name)
+        n, f = n + 1, f + pages
+    follows = F.col(group).isin(moved) if moved else F.lit(False)
+    chosen = stats.withColumn("moved", ~F.col("whale") & follows)
+    side = F.when(~F.col("whale") & (inside | F.col("moved")), "eval").otherwise("train")
+    return chosen.withColumn("side", side).select(group, "pages", "finish_pages", "whale", "moved", "side")
 
 
 def split_stats(split: DataFrame, min_groups: int = 8, min_finish: int = 15) -> DataFrame:

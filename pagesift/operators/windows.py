@@ -61,8 +61,9 @@ def largest_per_group(df: DataFrame, group: str, size: str, id_: str) -> DataFra
 
 def interleave(df: DataFrame, group: str, size: str, id_: str, n: int | None = None) -> DataFrame:
     """Round robin over groups, the largest row of each first; the first ``n`` rows if given. Adds ``rn``."""
-    out = ranked(df, [group], F.desc_nulls_last(size), F.asc(id_)).orderBy("rn", group)
-    return out.limit(n) if n else out
+    out = ranked(df, [group], F.desc_nulls_last(size), F.asc(id_))
+    # of the first n rows no group has more than n: a rank limit, which is applied before the shuffle
+    return out.where(F.col("rn") <= n).orderBy("rn", group).limit(n) if n else out.orderBy("rn", group)
 
 
 def pr_curve(scored: DataFrame, truth: str = "finish", score: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .storage import materialize
+from .storage import lookup_join, materialize
 
 
 def running_sum(df: DataFrame, value: str, order: list[str], bucket: Column, group: list[str] = [], out: str = "running") -> DataFrame:
@@ -31,17 +31,12 @@ def running_sum(df: DataFrame, value: str, order: list[str], bucket: Column, gro
 def global_rank(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
     """Add ``out``: the 0-based place of each row in the global ``order``.
 
-    Rows are range-sorted and written; the driver adds up one count for each written range.
+    Rows are range-sorted and written; one count for each written range is added up and joined on.
     """
     ordered = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_id", 33)
-    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part.alias("p")).count().collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    base = F.lit(0).cast("long")
-    if starts:
-        table = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
-        base = table[part.cast("long")]
-    return ordered.withColumn(out, base + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    counts = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = materialize(counts.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")), "starts")
+    based = lookup_join(ordered.withColumn("_p", part), starts, "_p")
+    return based.withColumn(out, F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_p", "_base")

@@ -30,7 +30,7 @@ def scl3_upgrade_https(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.upgrade_https("url").alias("url"))
 
 
-_UNESC = "replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_UNESC = "regexp_replace(replace(replace(replace(html, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 
 
 @query(f"SELECT page_id, sha256({_UNESC}) h FROM pages")
@@ -38,6 +38,27 @@ def scl4_html_unescape(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(S.html_unescape("html"), 256).alias("h"))
 
 
+@query("SELECT c_custkey, chr((160 + c_custkey % 50000)::INT) || 'é’&lt;A&zzz;' || CASE WHEN c_custkey % 2 = 0 THEN chr((65536 + c_custkey % 9000)::INT) ELSE '©x' END t FROM customer")
+def scl4_references(spark, sf):
+    """Numeric references in both bases, by name, twice escaped, unknown, and an old name without semicolon."""
+    k = F.col("c_custkey")
+    last = F.when(k % 2 == 0, F.concat(F.lit("&#x"), F.hex(65536 + k % 9000), F.lit(";"))).otherwise("&copyx")
+    text = F.concat(F.lit("&#"), (160 + k % 50000).cast("string"), F.lit(";&eacute;&rsquo;&amp;lt;&#65;&zzz;"), last)
+    return table(spark, sf, "customer").select("c_custkey", S.html_unescape(text).alias("t"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount, 6) fp_rate, round(l_tax, 6) recall, l_returnflag note, 'x' || l_partkey::VARCHAR tag FROM lineitem")
+def json1_metrics(spark, sf):
+    """Metrics written as JSON and read back: known ones as doubles, others as they are."""
+    li = table(spark, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    other = F.create_map(F.lit("note"), F.col("l_returnflag").cast("variant"), F.lit("tag"), F.concat(F.lit("x"), F.col("l_partkey").cast("string")).cast("variant"))
+    written = li.select(*keys, S.metrics_json({"fp_rate": "l_discount", "recall": "l_tax"}, other).alias("j"))
+    read = written.select(*keys, S.parse_metrics("j", ("fp_rate", "recall")).alias("m"))
+    extra = lambda n: F.element_at("m.other", n).cast("string").alias(n)
+    return read.select(*keys, F.round("m.fp_rate", 6).alias("fp_rate"), F.round("m.recall", 6).alias("recall"), extra("note"), extra("tag"))
+
+
 @query("SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(replace('> ' || p_name || ' &amp;  ' || p_brand || '.pdf', '&amp;', '&'), '\\s+', ' ', 'g')), '^[> ]+', '')) f FROM part")
 def scl5_clean_filename(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.clean_filename(F.concat(F.lit("> "), "p_name", F.lit(" &amp;  "), "p_brand", F.lit(".pdf"))).alias("f"))
@@ -323,12 +344,13 @@ def jn13_usable(spark, sf):
     return J.usable(truth(spark, sf), e.where("label < 3"), e.where("label > 7")).select("page_id", "category")
 
 
-@query("SELECT DISTINCT concat_ws('-', source, lang) g, count(*) n FROM documents WHERE concat_ws('-', source, lang) NOT IN (SELECT concat_ws('-', source, lang) FROM documents WHERE doc_id < 100) GROUP BY 1")
+@query("SELECT DISTINCT concat_ws('-', source, lang) g, count(*) n FROM documents WHERE concat_ws('-', source, lang) NOT IN (SELECT concat_ws('-', source, lang) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) GROUP BY 1")
 def set1_new_groups(spark, sf):
     from ..operators.splits import new_groups
 
     d = table(spark, sf, "documents").withColumn("g", F.concat_ws("-", "source", "lang"))
-    return new_groups(d, d.where("doc_id < 100").select("g").distinct(), "g").select("g", F.col("pages").alias("n"))
+    toxic = table(spark, sf, "labels").where("toxic = 1")
+    return new_groups(d, d.join(toxic, "doc_id", "left_semi").select("g").distinct(), "g").select("g", F.col("pages").alias("n"))
 
 
 @query("SELECT event_type, count(*) n FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1")
@@ -421,7 +443,8 @@ def src8_read_embeddings(spark, sf):
 def src9_split_round_trip(spark, sf):
     from ..operators.splits import hash_split
 
-    split = hash_split(table(spark, sf, "documents").select(F.col("source").alias("permit_num")).distinct(), "permit_num")
+    split = hash_split(table(spark, sf, "documents").groupBy(F.col("source").alias("permit_num")).agg(F.count("*").alias("pages")), "permit_num")
+    split = split.withColumns({"finish_pages": F.lit(0), "whale": F.lit(False), "moved": F.lit(False)})
     path = scratch_path(spark, "split")
     io.write_split(split, path)
     return io.read_split(spark, path)
@@ -434,11 +457,11 @@ def src14_export_manifest(spark, sf):
     return spark.read.schema("doc_id long, source string").option("header", True).csv(path)
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'empty' WHEN doc_id % 2 = 1 THEN 'block_page' WHEN doc_id % 3 = 0 THEN 'not_pdf' WHEN strlen(text) + 9 < 1024 THEN 'too_small' WHEN strlen(text) + 9 > 20000 THEN 'too_large' END reason FROM documents")
 def src13_triage_binary(spark, sf):
     d = table(spark, sf, "documents")
-    content = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("%PDF-1.7 ")).otherwise(F.lit("<html>")), "text").cast("binary")
-    return io.triage_binary(d.select("doc_id", content.alias("content")), least=1024).select("doc_id", "reason")
+    content = F.concat(F.when(F.col("doc_id") % 2 == 1, F.lit("<html>")).when(F.col("doc_id") % 3 == 0, "plain ").otherwise(F.lit("%PDF-1.7 ")), "text").cast("binary")
+    return io.triage_binary(d.select("doc_id", content.alias("content")), least=1024, most=20_000).select("doc_id", "reason")
 
 
 _ANCHORS = "len(regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_frac
 from ..operators import aggregates as A, dedup as D, evaluate as E, features as FE, incremental as I, joins as J, models as M, sampling as SA, splits as SP, windows as W
 from ..plans.storage import materialize, scratch_path, spread
+from ..streaming import keyed
 from ..sources import io
 from ..sources.schemas import CATEGORIES
 from ..streaming import tables as ST
@@ -66,6 +67,21 @@ def agg5_split_stats(spark, sf):
     return SP.split_stats(frozen(spark, sf), min_groups=20)
 
 
+_side = lambda s: f"string_agg(permit_num, ',' ORDER BY permit_num) FILTER (WHERE side = '{s}') {s}, count(*) FILTER (WHERE side = '{s}') {s}_permits, coalesce(sum(pages) FILTER (WHERE side = '{s}'), 0)::BIGINT {s}_pages, coalesce(sum(finish_pages) FILTER (WHERE side = '{s}'), 0)::BIGINT {s}_finish"
+
+
+@query(f"WITH {TRUTH}, {_SPLIT}, doc AS (SELECT {_side('train')}, {_side('eval')}, count(*) total_permits, sum(pages)::BIGINT total_pages, sum(finish_pages)::BIGINT total_finish_pages, coalesce(string_agg(permit_num || ':' || pages::VARCHAR, ',' ORDER BY permit_num) FILTER (WHERE whale), '') whales, coalesce(string_agg(permit_num || ':' || pages::VARCHAR || ':' || finish_pages::VARCHAR, ',' ORDER BY {hash_sql('permit_num')}, permit_num) FILTER (WHERE moved), '') moved FROM split) SELECT *, eval_permits >= 20 AND eval_finish >= 15 floors_met, NOT (eval_permits >= 20 AND eval_finish >= 15) exhausted FROM doc")
+def src9_split_document(spark, sf):
+    """The frozen split written as a document and read back, its lists as texts."""
+    path = scratch_path(spark, "split")
+    io.write_split(frozen(spark, sf), path, min_groups=20)
+    doc, side = io.read_split_document(spark, path), lambda s: (F.array_join(s, ",").alias(s), F.col(f"stats.{s}.permits").alias(f"{s}_permits"), F.col(f"stats.{s}.pages").alias(f"{s}_pages"), F.col(f"stats.{s}.finish_pages").alias(f"{s}_finish"))
+    listed = lambda c, *names: F.array_join(F.transform(f"stats.{c}", lambda x: F.concat_ws(":", *(x[n].cast("string") for n in names))), ",")
+    return doc.select(
+        *side("train"), *side("eval"), "stats.total_permits", "stats.total_pages", "stats.total_finish_pages", listed("whales_forced_train", "permit_num", "pages").alias("whales"),
+        listed("moved_to_eval_to_meet_floors", "permit_num", "pages", "finish_pages").alias("moved"), "stats.floors_met", F.col("stats.floors_exhausted_without_meeting").alias("exhausted"))
+
+
 @query(f"WITH {TRUTH}, {_SPLIT} SELECT permit_num, pages FROM split WHERE whale")
 def agg5_whales(spark, sf):
     return SP.whales(frozen(spark, sf))
@@ -143,9 +159,9 @@ def agg15_agreement(spark, sf):
     return rounded(A.agreement(labels(spark, sf), "labeler", "review"))
 
 
-@query(f"WITH {_PAIRS} SELECT page_id, label_a, label_b FROM pairs WHERE label_a <> label_b AND page_id NOT IN (SELECT page_id FROM labels_ WHERE source = 'adjudicate' AND id < 3000)")
+@query(f"WITH {_PAIRS} SELECT page_id, label_a, label_b FROM pairs WHERE label_a <> label_b AND page_id NOT IN (SELECT page_id FROM labels_ WHERE source = 'adjudicate')")
 def agg16_adjudication_queue(spark, sf):
-    return A.adjudication_queue(labels(spark, sf).where("source <> 'adjudicate' OR id < 3000"))
+    return A.adjudication_queue(labels(spark, sf))
 
 
 @query(f"WITH {LABELS} SELECT page_id, source, category, count(*) n FROM labels_ GROUP BY ALL HAVING n > 1")
@@ -471,6 +487,14 @@ def mod6_sweep(spark, sf):
     return J.leaderboard(out)
 
 
+@query()
+def mod7_triage(spark, sf):
+    """Every page with a route: a head fitted on train scores all, and only the uncertain band is checked again."""
+    rows = scored(spark, sf).drop("score").join(letter_features(spark, sf), "page_id")
+    model = M.fit_head(rows.where("side = 'train'"), "logreg", "binary")
+    return M.triage(model, rows, ()).select("page_id", "side", "route", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {SCORED} SELECT page_id FROM scored WHERE score >= 0.3 AND score < 0.7")
 def mod7_band(spark, sf):
     return M.band(scored(spark, sf), 0.3, 0.7).select("page_id")
@@ -701,13 +725,16 @@ def _memory(spark, start):
 @query("SELECT user_id page_id, count(*) > 0 seen FROM events GROUP BY 1")
 def str1_stream_ingest(spark, sf):
     sink = scratch_path(spark, "sink")
-    ST.stream_ingest(event_stream(spark, sf), sink, "page_id", scratch_path(spark, "checkpoint"), seq="id").awaitTermination()
-    return spark.read.parquet(sink).groupBy("page_id").agg((F.count("*") == 1).alias("seen"))
+    e = event_stream(spark, sf)
+    ST.stream_ingest(e, sink, "page_id", scratch_path(spark, "checkpoint"), seq="id").awaitTermination()
+    return keyed.read(spark, sink, e.schema).groupBy("page_id").agg((F.count("*") == 1).alias("seen"))
 
 
 @query(f"WITH {LABELS} SELECT page_id, id, source FROM labels_ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {PRIORITY_SQL} DESC, created_at DESC, id DESC) = 1")
 def str2_stream_truth(spark, sf):
-    return _memory(spark, lambda n, c: ST.stream_truth(event_stream(spark, sf), n, c)).select("page_id", "id", "source")
+    sink, e = scratch_path(spark, "truth"), event_stream(spark, sf)
+    ST.stream_truth(e, sink, scratch_path(spark, "checkpoint")).awaitTermination()
+    return keyed.read(spark, sink, e.schema).select("page_id", "id", "source")
 
 
 @query(f"WITH {LABELS} SELECT source, count(*) n FROM labels_ GROUP BY 1")
@@ -721,6 +748,18 @@ def src2_last_log_row(spark, sf):
     return W.first_per_key(e, ["user_id"], "event_id", last=True)
 
 
+@query("SELECT user_id::VARCHAR doc_id, 'ok' status, event_id bytes, 'a, \"' || event_type || '\".pdf' AS name FROM events WHERE event_type <> 'error' AND event_id % 10 > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def src2_download_log(spark, sf):
+    """Events written as a log without header, with failed rows, and with rows that broke off after three cells."""
+    path = scratch_path(spark, "log")
+    e = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
+    name = F.concat(F.lit('"a, ""'), "event_type", F.lit('"".pdf"'))
+    cells = F.concat_ws(",", F.col("user_id").cast("string"), status, F.col("event_id").cast("string"), F.when(F.col("event_id") % 10 > 0, name))
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").select(cells).write.text(path)
+    return io.read_download_log(spark, path)
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id % 2 = 1")
 def src4_append_new(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id")
@@ -729,12 +768,12 @@ def src4_append_new(spark, sf):
     return io.append_new(e, path, ["event_id"])
 
 
-@query("SELECT o_orderkey::VARCHAR AS \"permitNum\", o_orderstatus AS \"permitType\" FROM orders")
+@query("SELECT o_orderkey::VARCHAR AS \"permitNum\", o_orderstatus AS \"permitType\", 'a, \"b\"' || o_orderpriority description FROM orders")
 def src1_read_permits(spark, sf):
     path = scratch_path(spark, "csv")
     p = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("permitNum"), F.col("o_orderstatus").alias("permitType"), F.concat(F.lit('a, "b"'), "o_orderpriority").alias("description"))
     p.write.option("header", True).option("escape", '"').csv(path)
-    return io.read_permits(spark, path, "permitNum string, permitType string, description string").select("permitNum", "permitType")
+    return io.read_permits(spark, path, "permitNum string, permitType string, description string")
 
 
 @query("SELECT event_id, event_type FROM events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import hash_frac
 from ..operators.windows import first_per_key
 from ..plans.storage import scratch_path
 from . import schemas
@@ -119,17 +120,41 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("train").alias("permit_num"), F.lit("train").alias("side")).union(doc.select(F.explode("eval"), F.lit("eval")))
 
 
-def split_document(split: DataFrame, group="permit_num", version="1", seed: int = 42) -> DataFrame:
-    """One row: the split as a document with sorted lists of groups and counts. One name for each group is gathered."""
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col(group))))
-    count = lambda s: F.struct(F.count_if(F.col("side") == s).alias("groups"))
-    return split.agg(F.lit(version).alias("version"), F.lit(seed).alias("seed"), side("train").alias("train"), side("eval").alias("eval"), F.struct(count("train").alias("train"), count("eval").alias("eval")).alias("stats"))
+def split_document(split: DataFrame, group="permit_num", version="v1", seed: int = 42, rules: str = "", min_groups: int = 8, min_finish: int = 15) -> DataFrame:
+    """One row: a frozen split (``frozen_split``) as a document.
+
+    It has sorted lists of the groups of each side and, in ``stats``, permits, pages and finish pages of each side and
+    in all, the whales by name, the groups that were moved to meet the floors in the order of their hashes, whether
+    the floors are met, and whether the groups ran out before. One name for each group is gathered.
+    """
+    named = lambda c: F.col(group).alias("permit_num") if c == "permit_num" else F.col(c)
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col(group)))).alias(s)
+    total = lambda c, s=None: F.coalesce(F.sum(F.when(F.col("side") == s, F.col(c)) if s else F.col(c)), F.lit(0)).cast("long")
+    stats = lambda s: F.struct(F.count_if(F.col("side") == s).alias("permits"), total("pages", s).alias("pages"), total("finish_pages", s).alias("finish_pages")).alias(s)
+    whales = F.array_sort(F.collect_list(F.when(F.col("whale"), F.struct(named("permit_num"), "pages"))))
+    moved = F.array_sort(F.collect_list(F.when(F.col("moved"), F.struct(hash_frac(group, seed).alias("h"), named("permit_num"), "pages", "finish_pages"))))
+    met = (F.count_if(F.col("side") == "eval") >= min_groups) & (total("finish_pages", "eval") >= min_finish)
+    out = split.agg(
+        side("train"), side("eval"), stats("train").alias("_train"), stats("eval").alias("_eval"), F.count("*").alias("total_permits"), total("pages").alias("total_pages"),
+        total("finish_pages").alias("total_finish_pages"), whales.alias("whales_forced_train"), moved.alias("moved"), met.alias("floors_met"))
+    without_hash = F.transform("moved", lambda x: F.struct(x["permit_num"].alias("permit_num"), x["pages"].alias("pages"), x["finish_pages"].alias("finish_pages")))
+    return out.select(
+        F.lit(version).alias("version"), F.lit(seed).alias("seed"), F.lit(rules).alias("rules"), "train", "eval",
+        F.struct(
+            F.col("_train").alias("train"), F.col("_eval").alias("eval"), "total_permits", "total_pages", "total_finish_pages", "whales_forced_train",
+            without_hash.alias("moved_to_eval_to_meet_floors"), "floors_met", (~F.col("floors_met")).alias("floors_exhausted_without_meeting")).alias("stats"))
 
 
 def write_split(split: DataFrame, path: str, **kw) -> None:
+    """Write the document of a frozen split as one JSON file."""
     split_document(split, **kw).coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_split_document(spark: SparkSession, path: str) -> DataFrame:
+    """The whole document of a split: one row."""
+    return spark.read.schema(schemas.SPLIT).option("multiLine", True).json(path)
+
+
 def log_experiment(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 

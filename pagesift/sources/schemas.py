@@ -1,14 +1,12 @@
 """Explicit schemas; nothing is inferred."""
 
+# The columns of the tables as they come.
 PERMIT_COLUMNS = ("permitNum", "permitType", "permitClass", "estProjectCost", "totalSqFt", "issueDate", "description", "link")
 PERMITS = ", ".join(f"{c} string" for c in PERMIT_COLUMNS)
-PROBE = ", ".join(f"{c} string" for c in ("permitNum", "stratum", "status", "docCount", "pdfCount", "planLikeCount", "planLikeFilenames", "allDocIDs", "docPairs", "itemID", "notes"))
 DOWNLOAD_LOG = "doc_id string, status string, bytes long, name string"
-DOCUMENT = "id long, permit_num string, source_doc_id long, filename string, sha256 string, bytes long, page_count int, storage_path string, status string, error string, downloaded_at string"
-PAGE = "id long, document_id long, page_index int, image_path string, width_px int, height_px int, has_vector_text int, status string"
-LABEL = "id long, page_id long, source string, category string, keep int, confidence double, created_at string, sheet_title string, scale_visible int, finish_codes_visible int, table_present int, room_labels_visible int, dimensions_visible int, flag_reason string, evidence string"
-MANIFEST = "page_id string, pdf string, page_index int, png string, width_pt double, height_pt double, has_vector_text boolean, vector_drawing_count int, text_preview string"
-EMBEDDING = "page_id long, backbone string, embedding array<float>"
-SIDE = "permits int, pages int, finish_pages int"
-SPLIT = f"version string, seed int, rules string, train array<string>, eval array<string>, stats struct<train struct<{SIDE.replace(' ', ':').replace(',:', ',')}>, eval struct<{SIDE.replace(' ', ':').replace(',:', ',')}>>".replace("struct<train struct", "struct<train:struct").replace(", eval struct", ",eval:struct")
+SPLIT = """version string, seed int, rules string, train array<string>, eval array<string>,
+ stats struct<train:struct<permits:long,pages:long,finish_pages:long>,eval:struct<permits:long,pages:long,finish_pages:long>,
+ total_permits:long,total_pages:long,total_finish_pages:long,whales_forced_train:array<struct<permit_num:string,pages:long>>,
+ moved_to_eval_to_meet_floors:array<struct<permit_num:string,pages:long,finish_pages:long>>,floors_met:boolean,floors_exhausted_without_meeting:boolean>"""
+# The categories of pages.
 CATEGORIES = ("floor_plan", "finish_plan", "finish_schedule", "demo_plan", "reflected_ceiling", "furniture_plan", "site_plan", "elevation_section", "detail", "schedule_other", "structural", "mep", "cover_index", "specs_notes", "other", "life_safety")

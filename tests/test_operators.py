@@ -10,7 +10,7 @@ from pagesift.operators import aggregates as A, dedup as D, evaluate as E, extra
 from pagesift.operators.graph import connected_components
 from pagesift.plans.running import global_rank, running_sum
 from pagesift.sources import io
-from pagesift.streaming import tables as ST
+from pagesift.streaming import keyed, tables as ST
 
 
 def one(spark, value, column, kind="string"):
@@ -229,13 +229,34 @@ def test_truths_agree(log):
 def test_streams_equal_batch(spark, log, tmp_path):
     log.repartition(5).write.parquet(f"{tmp_path}/in")
     src = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    ST.stream_truth(src(), "truth_t", f"{tmp_path}/c1").awaitTermination()
-    assert sorted(spark.table("truth_t").select("page_id", "id").collect()) == sorted(W.current_truth(log).select("page_id", "id").collect())
+    ST.stream_truth(src(), f"{tmp_path}/truth", f"{tmp_path}/c1", buckets=8).awaitTermination()
+    best = sorted(W.current_truth(log).select("page_id", "id").collect())
+    assert sorted(keyed.read(spark, f"{tmp_path}/truth", log.schema).select("page_id", "id").collect()) == best
     ST.stream_counts(src(), "source", "counts_t", f"{tmp_path}/c2").awaitTermination()
     assert sorted(map(repr, spark.table("counts_t").collect())) == sorted(map(repr, A.status_counts(log, "source").collect()))
-    ST.stream_ingest(src(), f"{tmp_path}/sink", "page_id", f"{tmp_path}/c3", seq="id").awaitTermination()
-    ST.stream_ingest(src(), f"{tmp_path}/sink", "page_id", f"{tmp_path}/c4", seq="id").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/sink").count() == log.select("page_id").distinct().count()
+    for checkpoint in ("c3", "c4"):  # all rows again by another stream
+        ST.stream_ingest(src(), f"{tmp_path}/sink", "page_id", f"{tmp_path}/{checkpoint}", seq="id").awaitTermination()
+    assert keyed.read(spark, f"{tmp_path}/sink", log.schema).count() == log.select("page_id").distinct().count()
+
+
+def test_stream_goes_on_after_a_restart(spark, log, tmp_path):
+    """New files after a stop, and a batch that failed after its folder was written: no row twice, other buckets stay."""
+    sink, schema = f"{tmp_path}/truth", log.schema
+    best = lambda rows: W.current_truth_maxby(rows, W.PRIORITY, "page_id")
+    halves = [log.where(F.col("id") % 2 == k) for k in range(2)]
+    assert keyed.upsert(halves[0], sink, "page_id", best, "s", 0, 8) == 1
+    assert keyed.upsert(halves[0], sink, "page_id", best, "s", 0, 8) is None  # the same batch again
+    halves[1].limit(3).write.partitionBy("source").parquet(f"{sink}/v=2")  # what a failed attempt left
+    before = keyed.state(spark, sink)["buckets"]
+    few = halves[1].where(F.pmod(F.xxhash64("page_id"), F.lit(8)) == 3)
+    assert keyed.upsert(few, sink, "page_id", best, "s", 1, 8) == 2
+    after = keyed.state(spark, sink)["buckets"]
+    assert {k for k in after if after[k] != before.get(k)} == {"3"}
+    assert keyed.upsert(halves[1], sink, "page_id", best, "s", 2, 8) == 3
+    assert keyed.upsert(log.limit(0), sink, "page_id", best, "s", 3, 8) is None
+    got = keyed.read(spark, sink, schema)
+    assert sorted(got.select("page_id", "id").collect()) == sorted(W.current_truth(log).select("page_id", "id").collect())
+    assert keyed.versions(spark, sink) == [2, 3]
 
 
 SCORED = "page_id long, permit_num string, category string, score double"
