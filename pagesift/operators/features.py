@@ -190,7 +190,9 @@ def fit_svd(train: DataFrame, features="features", k: int = 256, passes: int = 4
         v = np.linalg.qr(_gram_times(rows, v))[0]
     values, turn = np.linalg.eigh(v.T @ _gram_times(rows, v)) if size else (np.zeros(0), v)
     top = np.argsort(-values)[: min(k, size)]
-    return Svd(v @ turn[:, top], np.sqrt(np.maximum(0, values[top])).tolist())
+    singular = np.sqrt(np.maximum(0, values[top]))
+    some = singular > 1e-7 * singular[:1]  # beyond the rank of the rows there is only rounding: those places are zero
+    return Svd((v @ turn[:, top]) * some, (singular * some).tolist())
 
 
 def concat_blocks(df: DataFrame, *blocks: str, out="features") -> DataFrame:

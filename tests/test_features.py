@@ -45,3 +45,20 @@ def test_svd_of_few_places_and_no_rows(spark):
     assert np.allclose(fitted.singular, [3, 1])
     assert np.allclose([np.abs(r.svd) for r in fitted.transform(rows).orderBy("page_id").collect()], [[3, 0], [0, 1], [0, 0]])
     assert FE.fit_svd(rows.limit(0)).singular == []
+
+
+def test_sweep_of_all_variants(spark):
+    """Every combination has a row, and words that tell the classes apart are learnt from."""
+    from pagesift.functions.predicates import KEEP, with_flags
+    from pagesift.operators import models as M
+
+    words = {"floor_plan": "room door window", "mep": "duct pipe wire"}
+    rows = [(i, f"p{i % 10}", c, f"{words[c]} page {i % 7}", [float(c == "mep"), 1.0]) for i in range(80) for c in [("floor_plan", "mep")[i % 2]]]
+    docs = with_flags(spark.createDataFrame(rows, "page_id long, permit_num string, category string, text string, embedding array<double>"))
+    truth = docs.withColumn("side", F.when(F.col("page_id") < 50, "train").otherwise("eval"))
+    tables, heads = M.text_variants(docs, truth.where("side = 'train'"), {"e": docs}, top=50, k=4)
+    out = M.sweep(truth.drop("text", "embedding"), tables, heads, keep_classes=KEEP, logreg={"maxIter": 20}, mlp={"maxIter": 10}).collect()
+    assert sorted((r.features, r["head"], r.task) for r in out) == sorted((n, h, t) for n in tables for h in heads[n] for t in ("binary", "collapse"))
+    assert len(out) == 4 + 4 + 2
+    wrong = [(r.features, r.task, r.keep_recall, r.fp_rate) for r in out if r["head"] == "logreg" and (r.keep_recall, r.fp_rate) != (1.0, 0.0)]
+    assert not wrong, wrong
