@@ -53,7 +53,7 @@ def test_sweep_of_all_variants(spark):
     from pagesift.operators import models as M
 
     words = {"floor_plan": "room door window", "mep": "duct pipe wire"}
-    rows = [(i, f"p{i % 10}", c, f"{words[c]} page {i % 7}", [float(c == "mep"), 1.0]) for i in range(80) for c in [("floor_plan", "mep")[i % 2]]]
+    rows = [(i, f"p{i % 10}", c, " ".join([words[c]] * (1 + i % 3)) + f" page w{i % 7} v{i % 5}", [float(c == "mep") + i % 4 / 9, 1.0]) for i in range(80) for c in [("floor_plan", "mep")[i % 2]]]
     docs = with_flags(spark.createDataFrame(rows, "page_id long, permit_num string, category string, text string, embedding array<double>"))
     truth = docs.withColumn("side", F.when(F.col("page_id") < 50, "train").otherwise("eval"))
     tables, heads = M.text_variants(docs, truth.where("side = 'train'"), {"e": docs}, top=50, k=4)
