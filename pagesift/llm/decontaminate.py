@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..plans.storage import materialize
-from .common import ROWS, as_bytes, fresh
+from .common import ROWS, as_bytes, fresh, once
 
 WINDOW = 13
 BLOCK = 3
@@ -94,16 +94,14 @@ def find(searchers: list[Patterns], text: bytes | None) -> tuple[int, int, list[
 
 def _searching(spark, items: list[tuple[str, bytes]], window: int):
     """A column function that searches texts for the windows of ``items``."""
-    sent = spark.sparkContext.broadcast(items)
-    kept: dict = {}
+    sent = spark.sparkContext.broadcast((items, window))
 
     @arrow_udf(HIT)
     def search(text):
         import pyarrow as pa
 
-        if "s" not in kept:  # built once for each worker that unpickles this function
-            kept["s"] = build(sent.value, window)
-        n, hit, starts, ends, found = zip(*(find(kept["s"], t) for t in as_bytes(text))) if len(text) else ((),) * 5
+        searchers = once(sent.value, lambda own: build(own[0], own[1]))
+        n, hit, starts, ends, found = zip(*(find(searchers, t) for t in as_bytes(text))) if len(text) else ((),) * 5
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
             names=["n_words", "n_hit", "starts", "ends", "items"],

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..plans.storage import materialize
+from .common import once
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -85,7 +86,7 @@ def frequent_units(docs: DataFrame, most: int = FREQUENT) -> list[str]:
 
 
 def with_counts(docs: DataFrame, model_file: str | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """Add ``n_tokens`` to each row of ``docs`` (from ``text``); other columns are kept.
+    """Add ``n_tokens`` to each row of ``docs`` (from ``text``); other columns are kept, an own ``n_tokens`` is replaced.
 
     Equal to the library's own count of the whole text without begin, end or added tokens. Null and empty texts
     have none. The frequent table only saves time: any table gives the same counts.
@@ -96,16 +97,14 @@ def with_counts(docs: DataFrame, model_file: str | None = None, frequent: int =
         model_file = public_tokenizers.path(MODEL)
     spark = docs.sparkSession
     start = Lengths(model_file)
-    known = spark.sparkContext.broadcast({u: start[u] for u in frequent_units(docs, frequent)})
-    kept: dict = {}
+    known = spark.sparkContext.broadcast((model_file, {u: start[u] for u in frequent_units(docs, frequent)}))
 
     @arrow_udf("long")
     def count(text):
         import pyarrow as pa
 
-        if "l" not in kept:
-            kept["l"] = Lengths(model_file, known.value)
-        return pa.array(map(kept["l"].count, text.to_pylist()), pa.int64())
+        lengths = once(known.value, lambda own: Lengths(*own))  # with a cache that outlives the task
+        return pa.array(map(lengths.count, text.to_pylist()), pa.int64())
 
     return docs.withColumn("n_tokens", count("text"))
 

@@ -260,3 +260,57 @@ def test_repair_of_odd_tables(spark):
     assert results(repair.report(own)) == {dropped: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
     long_text = [(1, 1, "user", prose(20_000, 3) + "."), (1, 2, "assistant", "x" * 100_000)]
     assert results(repair.report(spark.createDataFrame(long_text, CONV))) == plain_report(long_text)
+
+
+# pages and workers
+
+def test_walk_over_odd_pages():
+    from pagesift.llm import warc as W
+
+    assert W.links(b'<a title="go href=foo" href="/r"><!-- <a href="/c"> --><a title="a>b" href=\'/x\'>hi</a><script>"<a href=q>"</script><A HREF=/u?a=1&amp;b=2><a><a href><abbr href=/n><template><a href=/t></template><noscript><a href=/v></noscript>') == [b"/r", b"/x", b"/u?a=1&b=2", b"/v"]
+    assert W.visible_text(b'<a title="a>b" href="/x">hi</a> 1 < 2<br>x<template>no</template><p>y<script>z') == b"hi 1 < 2\nx\ny"
+    assert W.visible_text(b'<head><title>T</title><script>"</head>"</script></head><body>x<header>y</header>') == b"x\ny"
+    assert W.visible_text(b"<head>never closed <b>text</b>") == b"never closed text" and W.visible_text(b"a<!-- open") == b"a"
+    assert W.visible_text(b"a <style>x</style>b <STYLE >c</STYLE> d &lt;b&gt; <b") == b"a b d <b>"
+    assert W.title(b"<!-- <title>no</title> --><title> a\n b</title><title>c</title>") == b"a b" and W.title(b"<title>open") == b""
+
+
+@pytest.mark.parametrize("part", [b"<script ", b"<!-- ", b"<a ", b'<a href="', b"<title>", b"<noscript>", b"<head>", b"<a b='", b"</script "])
+def test_walk_is_linear(part):
+    """Pages of a megabyte that no end tag ends; a pass that went back would take minutes."""
+    import time
+
+    from pagesift.llm import warc as W
+
+    began = time.process_time()
+    W.visible_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5
+
+
+def test_warc_files_by_bytes(spark, tmp_path):
+    from pagesift.llm import warc as W
+
+    made = W.report(spark.createDataFrame([(i, "u", f"<p>{'x' * 5000} {i}</p>") for i in range(20)], "page_id long, url string, html string"))
+    for k, options in enumerate(({}, {"bytes_per_file": 30_000}, {"per_file": 10})):
+        W.write(made, f"{tmp_path}/{k}", **options)
+        assert sorted(map(repr, W.read(spark, f"{tmp_path}/{k}").collect())) == sorted(map(repr, made.collect()))
+    assert len(list((tmp_path / "1").glob("*.txt"))) > len(list((tmp_path / "0").glob("*.txt")))
+
+
+def test_workers_build_once(spark):
+    """Tasks of one worker share what is made from a broadcast."""
+    sent = spark.sparkContext.broadcast(["a", "b"])
+
+    def built(batches):
+        import os
+        import uuid
+
+        from pagesift.llm.common import once
+
+        for pdf in batches:
+            yield pdf.assign(made=once(sent.value, lambda v: f"{uuid.uuid4()}"), pid=os.getpid())
+
+    rows = spark.range(0, 4000, 1, 16).mapInPandas(built, "id long, made string, pid long")
+    one, two = (rows.select("made", "pid").distinct().collect() for _ in range(2))
+    assert len({r.made for r in one}) == len({r.pid for r in one}) < 16
+    assert {(r.pid, r.made) for r in one} & {(r.pid, r.made) for r in two}
