@@ -272,7 +272,7 @@ def test_walk_over_odd_pages():
     assert W.visible_text(b'<head><title>T</title><script>"</head>"</script></head><body>x<header>y</header>') == b"x\ny"
     assert W.visible_text(b"<head>never closed <b>text</b>") == b"never closed text" and W.visible_text(b"a<!-- open") == b"a"
     assert W.visible_text(b"a <style>x</style>b <STYLE >c</STYLE> d &lt;b&gt; <b") == b"a b d <b>"
-    assert W.title(b"<!-- <title>no</title> --><title> a\n b</title><title>c</title>") == b"a b" and W.title(b"<title>open") == b""
+    assert W.title(b"<!-- <title>no</title> --><title> a\n b</title><title>c</title>") == b" a b" and W.title(b"<title>open") == b""
 
 
 @pytest.mark.parametrize("part", [b"<script ", b"<!-- ", b"<a ", b'<a href="', b"<title>", b"<noscript>", b"<head>", b"<a b='", b"</script "])
