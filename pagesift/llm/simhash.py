@@ -204,7 +204,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     grams = materialize(again.where("v.key = own").select("node", "v.grams"), "grams", batch=ROWS)
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return materialize(both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b"), "good")
+    good = materialize(both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b"), "good")
+    for used in (wanted, grams):
+        discard(used)
+    return good
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -216,7 +219,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     connected or verified, unless sizes or parity maps rule it out. Texts of equal words are one class. Classes that
     share a shingle are first tied to one of them, another one in each of a few rounds; then all possible pairs
     between different components are tried, so a large group of near copies is not expanded into its pairs. Shingles are not written: texts are shingled once
-    to count, once for the prefixes, and those of candidates again to verify. Documents below the similarity are never joined but through others. Rows with a
+    to count, once for the prefixes, and those of candidates again to verify, and these go once a round is verified. Documents below the similarity are never joined but through others. Rows with a
     null doc_id are left out.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
@@ -269,7 +272,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     named = materialize(named, "named")
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     keys = materialize(named.join(ids, "component").select("key", "component_id"), "ids")
-    return seen.select("doc_id", "key").join(keys, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    groups = materialize(seen.select("doc_id", "key").join(keys, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "groups")
+    for used in (seen, classes, live, named, keys):
+        discard(used)
+    return groups
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
