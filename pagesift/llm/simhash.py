@@ -20,7 +20,8 @@ RADIUS = 2
 BUCKETS = 1 << 18
 #: Rounds in which classes that share a shingle are tied to one of them, before all possible pairs left are tried.
 STARS = 4
-#: Bits of the parity map by which pairs of sets that differ too much are told before their shingles are read.
+#: Bits of the parity map by which pairs of sets that differ too much are told before their shingles are read. Sets of
+#: more shingles, which fill it, have a second one that grows with them.
 MAP_BITS = 1 << 10
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15
@@ -141,30 +142,35 @@ def _bucket_counts(docs: DataFrame, width: int):
 
 
 def _measured(text: str, width: int, counts, similarity: float) -> Column:
-    """Of each text: the digest of its words, the number of shingles, their parity map, and its prefix.
+    """Of each text: the digest of its words, the number of shingles, their parity maps, and its prefix.
 
-    A bit of the map tells whether an odd number of shingles falls on it, so two maps differ in no more bits than the
-    sets in shingles. The prefix has the rarest shingles, as many as must hold one that any set of that similarity has
+    A bit of a map tells whether an odd number of shingles falls on it, so two maps differ in no more bits than the
+    sets in shingles. ``wide`` is a map of as many bits as shingles, up to the next power of two, and null where
+    ``map`` has as many. The prefix has the rarest shingles, as many as must hold one that any set of that similarity has
     in its own, as 32-bit hashes: equal ones stay equal, and verification comes last.
     """
 
-    @arrow_udf("key binary, n int, map array<long>, prefix array<int>")
+    @arrow_udf("key binary, n int, map array<long>, wide binary, prefix array<int>")
     def compute(column):
         import math
 
         import numpy as np
         import pyarrow as pa
 
-        keys, sizes, maps, prefixes = [], [], [], []
+        def parity(own, bits):
+            return np.packbits((np.bincount(own >> 32 & (bits - 1), minlength=bits) & 1).astype(np.uint8))
+
+        keys, sizes, maps, wides, prefixes = [], [], [], [], []
         for key, own in _sets(as_bytes(column), width):
             take = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
-            odd = np.bincount(own >> 32 & (MAP_BITS - 1), minlength=MAP_BITS) & 1
             keys.append(key)
             sizes.append(len(own))
-            maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            maps.append(parity(own, MAP_BITS).view(np.int64))
+            wides.append(parity(own, 1 << (len(own) - 1).bit_length()).tobytes() if len(own) > MAP_BITS else None)
             prefixes.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[:take]].astype(np.int32))
-        made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int32()))]
-        return pa.StructArray.from_arrays(made, names=["key", "n", "map", "prefix"])
+        made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64()))]
+        made += [pa.array(wides, pa.binary()), pa.array(prefixes, pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(made, names=["key", "n", "map", "wide", "prefix"])
 
     return compute.asNondeterministic()(text)  # so that no rewrite evaluates it more than once
 
@@ -189,6 +195,37 @@ def _fits(a: str, b: str, similarity: float) -> Column:
     return (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-6) & (apart * (1 + similarity) <= (1 - similarity) * (m + n) + 1e-6)
 
 
+def _wide_apart(a: str, b: str) -> Column:
+    """In how many bits two wide maps differ, the longer one folded to the other's length; null where one is missing."""
+
+    @arrow_udf("long")
+    def compute(x, y):
+        import numpy as np
+        import pyarrow as pa
+
+        def differ(p, q):
+            p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+            if len(p) < len(q):
+                p, q = q, p
+            while len(p) > len(q):
+                p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+            return int(np.bitwise_count(p ^ q).sum(dtype=np.int64))
+
+        both = zip(x.to_pylist(), y.to_pylist())
+        return pa.array([None if p is None or q is None else differ(p, q) for p, q in both], pa.int64())
+
+    return compute(a, b)
+
+
+def _widely_possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` whose wide maps, where both have one, leave the similarity possible."""
+    wide = maps.where("wide IS NOT NULL")
+    named = lambda x: wide.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    enough = _wide_apart("wa", "wb") * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    return both.where(F.coalesce(enough, F.lit(True))).select(*pairs.columns)
+
+
 def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``pairs``, from ``a`` to ``b``, whose sizes and parity maps leave the similarity possible."""
     named = lambda x: maps.select(F.col("row").alias(x), F.struct("n", "map").alias(f"m{x}"))
@@ -227,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "shingles", batch=ROWS)
     least = F.min(F.struct("doc_id", "row")).alias("m")
     classes = materialize(seen.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("node")), "classes")
-    maps = seen.select("row", "n", "map")
+    maps = seen.select("row", "n", "map", "wide")
     own = lookup_join(seen.select("row", "n", "prefix"), classes.select("node"), F.col("row") == F.col("node"), max_rows=1_000_000)
     by_gram = Window.partitionBy("g")
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
@@ -255,9 +292,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if star:
             turn = F.row_number().over(Window.partitionBy("from").orderBy(F.xxhash64("a", "b")))
-            pairs = _possible(pairs, maps, similarity).withColumn("turn", turn).where(F.col("turn") <= 1 << k)  # the others are tried in the end
+            pairs = _widely_possible(_possible(pairs, maps, similarity), maps, similarity).withColumn("turn", turn).where(F.col("turn") <= 1 << k)  # the others are tried in the end
             pairs = pairs.select("a", "b").distinct()
-        pairs = materialize(pairs, "pairs")
+        else:
+            pairs = _widely_possible(pairs, maps, similarity)
+        pairs = materialize(pairs, "pairs", batch=ROWS)
         tried = pairs if tried is None else tried.union(pairs)
         found = _verified(pairs, classes, docs, width, similarity)
         good = found if good is None else good.union(found)

@@ -527,6 +527,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == plain_near(texts)
 
 
+def test_long_near_duplicates_equal_brute_force(spark):
+    """Sets whose wide parity maps differ in length, on both sides of the similarity, beside sets that share a passage."""
+    r, texts = random.Random(21), []
+    for size in (900, 1020, 1030, 1900, 2050, 4100):
+        words = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        for share in (0, 0.01, 0.02, 0.022, 0.023, 0.03, 0.2):  # a changed word changes five shingles
+            own = list(words)
+            for i in r.sample(range(size), int(share * size)):
+                own[i] = f"edit{r.random()}"
+            texts.append(" ".join(own))
+        texts.append(" ".join(words[: int(0.81 * size)]))
+        texts.append(" ".join(words[: int(0.79 * size)]))
+        texts.append(" ".join([*words[: size // 4], *(f"w{r.randrange(10**6)}" for _ in range(size))]))
+    r.shuffle(texts)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_near(texts)
+    assert len(set(got.values())) > 15
+
+
 def test_near_duplicates_are_verified_on_shingles(spark):
     r = random.Random(12)
     texts, group = [], []
