@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     by_gram = Window.partitionBy("g")
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
     live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
-    good = tried = None
+    good = tried = tied = None
     for k in range(STARS + 1):
         star = k < STARS
         if star:
@@ -297,8 +297,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         else:
             pairs = _widely_possible(pairs, maps, similarity)
         pairs = materialize(pairs, "pairs", batch=ROWS)
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.union(pairs)
         found = _verified(pairs, classes, docs, width, similarity)
+        if found.isEmpty():
+            continue
         good = found if good is None else good.union(found)
         tied = connected_components(good, "a", "b")
         if star:
@@ -307,8 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             several = renamed.withColumn("_l", F.min("comp").over(by_gram)).withColumn("_m", F.max("comp").over(by_gram))
             earlier, live = live, materialize(several.where("_l < _m").drop("_l", "_m"), "shared")
             discard(earlier)
-    named = classes.join(tied, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "named")
+    named = classes.join(tied, "node", "left") if tied is not None else classes.withColumn("component", F.col("node"))
+    named = materialize(named.select("key", "rep", F.coalesce("component", "node").alias("component")), "named")
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     keys = materialize(named.join(ids, "component").select("key", "component_id"), "ids")
     groups = materialize(seen.select("doc_id", "key").join(keys, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "groups")
