@@ -19,8 +19,8 @@ from .common import WORD, fresh
 #: Entries of the table of word frequencies: words are hashed to them.
 BUCKETS = 1 << 18
 _LOW = (1 << 56) - 1
-#: Lines of more words get a second parity map, as they fill the first.
-FULL = 40
+#: Lines of more words get a second parity map, as the first alone passes one in 10,000 other lines or more.
+FULL = 80
 #: Pairs are verified in so many parts, one after another, as each pair carries a line's words through a shuffle.
 PARTS = 4
 
@@ -32,17 +32,16 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _spaced(text: Column, blanks: str = "\t\x0b\x0c\r") -> Column:
-    """The text with other blanks as spaces; texts without any, nearly all, are only searched."""
-    has = F.lit(False)
+    """The text with other blanks as spaces."""
     for b in blanks:
-        has = has | F.contains(text, F.lit(b))
-    return F.when(has, F.translate(text, blanks, " " * len(blanks))).otherwise(text)
+        text = F.replace(text, F.lit(b), F.lit(" "))  # gives back texts without any, nearly all, as they are
+    return text
 
 
 def word_hashes(line: Column) -> Column:
     """The distinct words of a line as 64-bit hashes."""
-    words = F.array_remove(F.split(F.lower(_spaced(line)), " "), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.split(F.lower(_spaced(line)), " ")
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def line_key() -> list[Column]:
@@ -67,12 +66,12 @@ def frequency_table(docs: DataFrame, buckets: int = BUCKETS) -> bytes:
 
 def ordered_words(line: Column, table: bytes) -> Column:
     """The distinct words of a line, rarest first, as longs: 7 bits of frequency, 56 of hash."""
-    known = F.lit(bytearray(table))
+    ranks = F.from_json(F.lit(str([b - 1 for b in table])), "array<bigint>")  # folded into one literal
     low = len(table) - 1
 
     def key(h):
-        rank = F.ascii(F.substring(known, h.bitwiseAND(low).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(h.bitwiseAND(_LOW))
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(low).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(_LOW))
 
     return F.sort_array(F.transform(word_hashes(line), key))
 
@@ -80,7 +79,8 @@ def ordered_words(line: Column, table: bytes) -> Column:
 def _parity(shift: int) -> Column:
     """64 bits, each the parity of the number of words whose hash has its place in six bits from ``shift``."""
     one = F.lit(1).cast("long")
-    return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(w, shift).bitwiseAND(63).cast("int"))))
+    place = lambda w: (F.shiftright(w, shift) if shift else w).bitwiseAND(63).cast("int")
+    return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, place(w))))
 
 
 def representatives(cut: DataFrame, table: bytes) -> DataFrame:
