@@ -2,7 +2,7 @@
 
 A gear rolling hash over the bytes cuts each text where the hash of the last 16 bytes falls below a bound, so cuts
 depend on nothing but the bytes around them: a passage is cut alike wherever it stands, and insertions shift no
-cuts after it. Chunks are compared by digest; neighbouring chunks that other documents have too make up a repeated
+cuts after it. Chunks are compared by 128-bit digest; neighbouring chunks that other documents have too make up a repeated
 span, and spans of a minimal length are reported or removed.
 """
 
@@ -18,7 +18,13 @@ from .common import as_bytes, fresh
 MEAN = 24
 LONGEST = 4096
 SPAN = 120
-CHUNK = "doc_id long, start int, size int, digest long"
+CHUNK = "doc_id long, start int, size int, high long, low long"
+#: The two halves of a chunk's XXH3 of 128 bits.
+DIGEST = ["high", "low"]
+#: Digests with more than this part of all repeated chunks are hot, so there are fewer of them than this.
+HOT = 20_000
+#: A hot digest is joined in so many parts.
+PARTS = 32
 
 
 def _gear():
@@ -55,12 +61,15 @@ def cuts(text: bytes, mean: int = MEAN, longest: int = LONGEST, gear=None):
 
 
 def chunks(docs: DataFrame, mean: int = MEAN) -> DataFrame:
-    """Rows ``doc_id, start, size, digest`` of all chunks; starts and sizes are in UTF-8 bytes. Null texts have none."""
+    """Rows ``doc_id, start, size, high, low`` of all chunks; starts and sizes are in UTF-8 bytes. Null texts have none.
+
+    ``doc_id`` is cast to long.
+    """
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         gear = _gear()
         for batch in batches:
@@ -71,15 +80,14 @@ def chunks(docs: DataFrame, mean: int = MEAN) -> DataFrame:
                         continue
                     ends = cuts(text, mean, gear=gear)
                     begins = np.concatenate([[0], ends[:-1]])
-                    digests += [xxh3_64_intdigest(text[s:e]) for s, e in zip(begins.tolist(), ends.tolist())]
+                    digests += [xxh3_128_digest(text[s:e]) for s, e in zip(begins.tolist(), ends.tolist())]
                     ids.append(np.full(len(ends), doc, np.int64))
                     starts.append(begins)
                     sizes.append(ends - begins)
                 if ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.array(digests, np.uint64).view(np.int64))],
-                        names=["doc_id", "start", "size", "digest"],
-                    )
+                    halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                    columns = [np.concatenate(ids), np.concatenate(starts).astype(np.int32), np.concatenate(sizes).astype(np.int32), halves[:, 0], halves[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "size", *DIGEST])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, CHUNK)
 
@@ -88,11 +96,18 @@ def repeated_chunks(docs: DataFrame, mean: int = MEAN) -> DataFrame:
     """The chunks that more than one document has, with ``first_id``, the smallest doc_id that has them.
 
     A digest's documents are only counted as minimum and maximum, which combine before the shuffle; the chunks
-    then join the written list of repeated digests, where hot digests can be split.
+    then join the written list of repeated digests. A digest that holds much of them is joined in several parts, dealt
+    by document and place, so that no task has all its chunks.
     """
     cut = chunks(docs, mean)
-    shared = cut.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    return cut.join(materialize(shared, "digests"), "digest")
+    seen = cut.groupBy(*DIGEST).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n"))
+    shared = materialize(seen.where("first_id < last_id").drop("last_id"), "digests")
+    bound = max(1000.0, (shared.agg(F.sum("n")).first()[0] or 0) / HOT)
+    hot = F.broadcast(shared.where(F.col("n") > bound).select(*DIGEST, F.lit(True).alias("hot")))  # fewer than HOT rows
+    parts = F.when(F.col("n") > bound, F.lit(PARTS)).otherwise(F.lit(1))
+    dealt = shared.select(*DIGEST, "first_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    mine = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    return cut.join(hot, DIGEST, "left").withColumn("part", mine).join(dealt, [*DIGEST, "part"]).drop("part", "hot")
 
 
 def spans(docs: DataFrame, mean: int = MEAN, least: int = SPAN) -> DataFrame:
@@ -102,8 +117,8 @@ def spans(docs: DataFrame, mean: int = MEAN, least: int = SPAN) -> DataFrame:
     part of the span), ``later`` (array of start, end: the parts that a smaller doc_id has too), removed_bytes (their
     sum). Rows with a null doc_id or text are left out; rows that share a doc_id count as one document.
     """
-    found = repeated_chunks(docs, mean).dropDuplicates(["doc_id", "start", "digest"])
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "digest")
+    found = repeated_chunks(docs, mean).dropDuplicates(["doc_id", "start", *DIGEST])
+    by_doc = Window.partitionBy("doc_id").orderBy("start", *DIGEST)
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(by_doc) != F.col("start"), F.lit(True))
     marked = found.withColumn("fresh", fresh.cast("int"))
     grouped = marked.withColumn("span", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))

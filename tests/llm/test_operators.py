@@ -347,6 +347,13 @@ def test_substring_spans_equal_brute_force(spark):
     assert {g[0] for g in got} == {i for i in range(30) if i % 3 == 0} | {1, 30, 31}
 
 
+def test_substring_chunks_of_most_documents(spark):
+    passage = prose(25, 79)  # its chunks are in over 1,000 documents, so they are joined in parts
+    texts = [f"{prose(5, i)} {passage} {prose(4, 5000 + i)}" for i in range(1100)] + [prose(60, 9000)] * 2 + [prose(60, 9001)]
+    got = sorted(tuple(r) for r in substring_dedup.report(docs(spark, texts)).collect())
+    assert got == plain_chunk_spans(list(enumerate(texts))) and len(got) == 1102
+
+
 def test_substring_removal_keeps_the_first(spark):
     passage = prose(80, 78)
     texts = [prose(60, 1) + "\n" + passage, passage + "\n" + prose(60, 2), prose(70, 3), None, ""]
