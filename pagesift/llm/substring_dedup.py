@@ -2,7 +2,7 @@
 
 A gear rolling hash over the bytes cuts each text where the hash of the last 16 bytes falls below a bound, so cuts
 depend on nothing but the bytes around them: a passage is cut alike wherever it stands, and insertions shift no
-cuts after it. Chunks are compared by 128-bit digest; neighbouring chunks that other documents have too make up a repeated
+cuts after it. Chunks are compared by 96-bit digest; neighbouring chunks that other documents have too make up a repeated
 span, and spans of a minimal length are reported or removed.
 """
 
@@ -18,8 +18,8 @@ from .common import as_bytes, fresh
 MEAN = 24
 LONGEST = 4096
 SPAN = 120
-CHUNK = "doc_id long, start int, size int, high long, low long"
-#: The two halves of a chunk's XXH3 of 128 bits.
+CHUNK = "doc_id long, start int, size int, high long, low int"
+#: The first 96 bits of a chunk's XXH3: 10**12 different chunks have two alike with a chance of one in 100,000.
 DIGEST = ["high", "low"]
 #: Digests with more than this part of all repeated chunks are hot, so there are fewer of them than this.
 HOT = 20_000
@@ -85,8 +85,8 @@ def chunks(docs: DataFrame, mean: int = MEAN) -> DataFrame:
                     starts.append(begins)
                     sizes.append(ends - begins)
                 if ids:
-                    halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                    columns = [np.concatenate(ids), np.concatenate(starts).astype(np.int32), np.concatenate(sizes).astype(np.int32), halves[:, 0], halves[:, 1]]
+                    bits = np.frombuffer(b"".join(digests), [("high", ">i8"), ("low", ">i4"), ("rest", "V4")])
+                    columns = [np.concatenate(ids), np.concatenate(starts).astype(np.int32), np.concatenate(sizes).astype(np.int32), bits["high"].astype(np.int64), bits["low"].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "size", *DIGEST])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, CHUNK)
@@ -107,7 +107,9 @@ def repeated_chunks(docs: DataFrame, mean: int = MEAN) -> DataFrame:
     parts = F.when(F.col("n") > bound, F.lit(PARTS)).otherwise(F.lit(1))
     dealt = shared.select(*DIGEST, "first_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     mine = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
-    return cut.join(hot, DIGEST, "left").withColumn("part", mine).join(dealt, [*DIGEST, "part"]).drop("part", "hot")
+    # the part stands in the last bits of the digest, so that chunks carry no more columns
+    cut = cut.join(hot, DIGEST, "left").select("doc_id", "start", "size", "high", F.col("low").bitwiseXOR(mine).alias("low"))
+    return cut.join(dealt.select("high", F.col("low").bitwiseXOR(F.col("part")).alias("low"), "first_id"), DIGEST).drop("low")
 
 
 def spans(docs: DataFrame, mean: int = MEAN, least: int = SPAN) -> DataFrame:
@@ -117,8 +119,8 @@ def spans(docs: DataFrame, mean: int = MEAN, least: int = SPAN) -> DataFrame:
     part of the span), ``later`` (array of start, end: the parts that a smaller doc_id has too), removed_bytes (their
     sum). Rows with a null doc_id or text are left out; rows that share a doc_id count as one document.
     """
-    found = repeated_chunks(docs, mean).dropDuplicates(["doc_id", "start", *DIGEST])
-    by_doc = Window.partitionBy("doc_id").orderBy("start", *DIGEST)
+    found = repeated_chunks(docs, mean).dropDuplicates(["doc_id", "start", "size", "high"])
+    by_doc = Window.partitionBy("doc_id").orderBy("start", "high", "size")
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(by_doc) != F.col("start"), F.lit(True))
     marked = found.withColumn("fresh", fresh.cast("int"))
     grouped = marked.withColumn("span", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
