@@ -27,6 +27,16 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15
 
 
+def _majority(every) -> int:
+    """A bit is set if it is set in over half of the unsigned 64-bit hashes."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(every), _BLOCK):
+        counts += np.unpackbits(every[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(every), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(text: bytes | None, width: int = 3) -> int:
     """Unsigned 64-bit SimHash of one UTF-8 text: a bit is set if it is set in over half the shingles' XXH64."""
     import numpy as np
@@ -45,11 +55,7 @@ def fingerprint_of(text: bytes | None, width: int = 3) -> int:
             ends.append(at)
         starts = [0, *(e + 1 for e in ends)]
         hashes = [xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])]
-    counts = np.zeros(64, np.int64)
-    every = np.array(hashes, dtype="<u8")
-    for i in range(0, len(every), _BLOCK):
-        counts += np.unpackbits(every[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(every), bitorder="little").view("<u8")[0])
+    return _majority(np.array(hashes, dtype="<u8"))
 
 
 def fingerprint(text: Column | str, width: int = 3) -> Column:
@@ -86,6 +92,15 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", distance).where(F.col("distance") <= RADIUS)
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of rows ``node, fp``: rows of a fingerprint tied to its smallest node, those of linked ones to each other."""
+    heads = materialize(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    named = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias({"a": "x", "b": "y"}[c]))
+    linked = links(heads).join(named("a"), "a").join(named("b"), "b").select("x", "y")
+    return equal.union(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def components(docs: DataFrame, width: int = 3) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``: component_id is the smallest doc_id reachable over links.
 
@@ -142,7 +157,7 @@ def _bucket_counts(docs: DataFrame, width: int):
 
 
 def _measured(text: str, width: int, counts, similarity: float) -> Column:
-    """Of each text: the digest of its words, the number of shingles, their parity maps, and its prefix.
+    """Of each text: the digest of its words, the number of shingles, their SimHash and parity maps, and its prefix.
 
     A bit of a map tells whether an odd number of shingles falls on it, so two maps differ in no more bits than the
     sets in shingles. ``wide`` is a map of as many bits as shingles, up to the next power of two, and null where
@@ -150,7 +165,7 @@ def _measured(text: str, width: int, counts, similarity: float) -> Column:
     in its own, as 32-bit hashes: equal ones stay equal, and verification comes last.
     """
 
-    @arrow_udf("key binary, n int, map array<long>, wide binary, prefix array<int>")
+    @arrow_udf("key binary, n int, fp long, map array<long>, wide binary, prefix array<int>")
     def compute(column):
         import math
 
@@ -160,17 +175,18 @@ def _measured(text: str, width: int, counts, similarity: float) -> Column:
         def parity(own, bits):
             return np.packbits((np.bincount(own >> 32 & (bits - 1), minlength=bits) & 1).astype(np.uint8))
 
-        keys, sizes, maps, wides, prefixes = [], [], [], [], []
+        keys, sizes, prints, maps, wides, prefixes = [], [], [], [], [], []
         for key, own in _sets(as_bytes(column), width):
             take = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
             keys.append(key)
             sizes.append(len(own))
+            prints.append(_majority(own))
             maps.append(parity(own, MAP_BITS).view(np.int64))
             wides.append(parity(own, 1 << (len(own) - 1).bit_length()).tobytes() if len(own) > MAP_BITS else None)
             prefixes.append(own[np.lexsort((own, counts[own & (BUCKETS - 1)]))[:take]].astype(np.int32))
-        made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64()))]
+        made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(maps, pa.list_(pa.int64()))]
         made += [pa.array(wides, pa.binary()), pa.array(prefixes, pa.list_(pa.int32()))]
-        return pa.StructArray.from_arrays(made, names=["key", "n", "map", "wide", "prefix"])
+        return pa.StructArray.from_arrays(made, names=["key", "n", "fp", "map", "wide", "prefix"])
 
     return compute.asNondeterministic()(text)  # so that no rewrite evaluates it more than once
 
@@ -250,8 +266,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows ``(doc_id, component_id)``, one for each doc_id: near-duplicates by shingle similarity share a component.
 
-    A SimHash of shingles moves by many bits where the Jaccard similarity of five-word shingles is still 0.8, far
-    beyond a radius that can be emitted. So this is an exact set-similarity join: two sets of that similarity share
+    Classes whose SimHashes of the distinct shingles differ in 2 bits or fewer (``links``) are verified first. But a SimHash
+    moves by many bits where the Jaccard similarity of five-word shingles is still 0.8, far beyond a radius that can be
+    emitted. So an exact set-similarity join finds the rest: two sets of that similarity share
     one of their rarest shingles, whose number is fixed by the size, and every pair that does is either already
     connected or verified, unless sizes or parity maps rule it out. Texts of equal words are one class. Classes that
     share a shingle are first tied to one of them, another one in each of a few rounds; then all possible pairs
@@ -270,9 +287,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
     live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
     good = tried = tied = None
-    for k in range(STARS + 1):
+    for k in range(-1, STARS + 1):
         star = k < STARS
-        if star:
+        if k < 0:
+            prints = materialize(seen.select("row", "fp").join(classes.select("node"), F.col("row") == F.col("node")).select("node", "fp"), "prints")
+            pairs = fingerprint_pairs(prints)
+        elif star:
             # each shingle has a leader, another one in each round; a class tries 1, 2, 4, 8 leaders of its shingles
             turn = F.lit(0).cast("long") if k == 0 else F.xxhash64("node", "g", F.lit(k))
             first = F.min(F.struct(turn.alias("turn"), "comp", "node")).over(by_gram)
@@ -290,7 +310,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if star:
+        if k < 0:
+            pairs = _widely_possible(_possible(pairs, maps, similarity), maps, similarity)
+        elif star:
             turn = F.row_number().over(Window.partitionBy("from").orderBy(F.xxhash64("a", "b")))
             pairs = _widely_possible(_possible(pairs, maps, similarity), maps, similarity).withColumn("turn", turn).where(F.col("turn") <= 1 << k)  # the others are tried in the end
             pairs = pairs.select("a", "b").distinct()
