@@ -199,10 +199,15 @@ def norm(arr) -> Column:
     return F.sqrt(F.aggregate(col(arr), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def bound(value, f) -> Column:
+    """``f`` of a column that is evaluated once, however often ``f`` names it; lambdas would evaluate it at each place."""
+    return F.get(F.transform(F.array(col(value)), f), F.lit(0))
+
+
 def l2_normalize(arr) -> Column:
     """A unit array of doubles; a zero array stays as it is."""
     n = norm(arr)
-    return F.transform(col(arr), lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return bound(F.when(n == 0, 1.0).otherwise(n), lambda m: F.transform(col(arr), lambda x: x.cast("double") / m))
 
 
 def dot(a, b) -> Column:
