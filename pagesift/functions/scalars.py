@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value, f) -> Column:
+    """``f`` of a column that is evaluated once, however often ``f`` names it; lambdas would evaluate it at each place."""
+    return F.get(F.transform(F.array(col(value)), f), F.lit(0))
+
+
 def parse_money(c) -> Column:
     """A dollar amount as double: blanks, ``$`` and ``,`` removed; null where the rest is not a number."""
     bare = F.regexp_replace(F.trim(col(c)), "[$,]", "")
@@ -48,6 +53,18 @@ def _literal_map(table: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # folded to one literal
 
 
+def _find(table: dict[str, str], key: Column) -> Column:
+    """The value of a key, or null. Spark searches a map from its start, so the table is dealt to short ones by CRC-32."""
+    import json
+    from zlib import crc32
+
+    parts = [{} for _ in range(len(table) // 2 + 1)]
+    for k, v in table.items():
+        parts[crc32(k.encode()) % len(parts)][k] = v
+    dealt = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    return F.get(dealt, F.pmod(F.crc32(key.cast("binary")), F.lit(len(parts))).cast("int"))[key]
+
+
 def _utf8(code: Column) -> Column:
     """The character of a code point; Spark's ``char`` stops at 255."""
     part = lambda shift, lead=0x80, mask=0x3F: F.lpad(F.hex(F.shiftright(code, shift).bitwiseAND(mask).bitwiseOR(lead)), 2, "0")
@@ -62,27 +79,31 @@ def _utf8(code: Column) -> Column:
 
 def _number(ref: Column) -> Column:
     """What a numeric reference without its ``&`` stands for: Windows-1252 for 128 to 159, U+FFFD for none, empty for what HTML forbids."""
-    digits = F.regexp_replace(ref, r"^#[xX]?0*|;$", "")
-    beyond = F.length(digits) > 8
-    short = F.when(beyond | (digits == ""), "0").otherwise(digits)
-    code = F.when(ref.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short).cast("long")
     windows = {str(k): bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
-    forbidden = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
-    return (
-        F.when(beyond | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
-        .when(code.between(0x80, 0x9F), _literal_map(windows)[code.cast("string")])
-        .when(forbidden, "")
-        .otherwise(_utf8(code))
-    )
+
+    def code(digits):
+        value = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        return F.when(digits == "", 0).when(F.length(digits) > 8, 0x110000).otherwise(value)
+
+    def character(code):
+        forbidden = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        return (
+            F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+            .when(code.between(0x80, 0x9F), _literal_map(windows)[code.cast("string")])
+            .when(forbidden, "")
+            .otherwise(_utf8(code))
+        )
+
+    return bound(bound(F.regexp_replace(ref, r"^#[xX]?0*|;$", ""), code), character)
 
 
 def _named(ref: Column) -> Column:
     """What a name without its ``&`` stands for: as a whole, or its longest beginning that needs no semicolon; else as it is."""
     every, old = _names()
-    sizes = F.filter(F.sequence(F.length(ref) - 1, F.lit(2), F.lit(-1)), lambda n: _literal_map(old)[F.substring(ref, F.lit(1), n)].isNotNull())
-    begins = F.when(F.length(ref) > 2, F.get(sizes, F.lit(0)))
-    begun = F.concat(_literal_map(old)[F.substring(ref, F.lit(1), begins)], F.substring(ref, begins + 1, F.length(ref)))
-    return F.coalesce(_literal_map(every)[ref], begun, F.concat(F.lit("&"), ref))
+    longest = F.least(F.length(ref) - 1, F.lit(max(map(len, old))))
+    found = F.transform(F.sequence(longest, F.lit(2), F.lit(-1)), lambda n: F.concat(_find(old, F.substring(ref, F.lit(1), n)), F.substring(ref, n + 1, F.length(ref))))
+    begun = F.when(F.length(ref) > 2, F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+    return F.coalesce(_find(every, ref), begun, F.concat(F.lit("&"), ref))
 
 
 def html_unescape(c) -> Column:
@@ -199,11 +220,6 @@ def norm(arr) -> Column:
     return F.sqrt(F.aggregate(col(arr), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def bound(value, f) -> Column:
-    """``f`` of a column that is evaluated once, however often ``f`` names it; lambdas would evaluate it at each place."""
-    return F.get(F.transform(F.array(col(value)), f), F.lit(0))
-
-
 def l2_normalize(arr) -> Column:
     """A unit array of doubles; a zero array stays as it is."""
     n = norm(arr)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P, scalars as S
 from ..operators import extract as X, joins as J, windows as W
-from ..plans.storage import scratch_path
+from ..plans.storage import scratch_path, spread
 from ..sources import io
 from .registry import LABELS, PERMITS, PRIORITY_SQL, STRATA_SQL, TRUTH, hash_sql, labels, permits, query, rounded, strata, table, truth
 
@@ -44,7 +44,7 @@ def scl4_references(spark, sf):
     k = F.col("c_custkey")
     last = F.when(k % 2 == 0, F.concat(F.lit("&#x"), F.hex(65536 + k % 9000), F.lit(";"))).otherwise("&copyx")
     text = F.concat(F.lit("&#"), (160 + k % 50000).cast("string"), F.lit(";&eacute;&rsquo;&amp;lt;&#65;&zzz;"), last)
-    return table(spark, sf, "customer").select("c_custkey", S.html_unescape(text).alias("t"))
+    return spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", S.html_unescape(text).alias("t"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount, 6) fp_rate, round(l_tax, 6) recall, l_returnflag note, 'x' || l_partkey::VARCHAR tag FROM lineitem")

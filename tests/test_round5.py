@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pagesift.functions import scalars as S
 from pagesift.operators import dedup as D
+from pagesift.queries import QUERIES
 
 from .test_similarity import all_pairs, frame
 
@@ -16,3 +18,27 @@ def test_links_of_many_blocks_stay_few(spark):
     links = D.similar_links(rows, 0.3, block=5)
     assert len(all_pairs(x, 0.3)) > 80_000 and links.count() < 8_000
     assert {(r.page_id < 300, r.leader) for r in D.dup_components(links, rows).collect()} == {(True, 0), (False, 300)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_are_read_once(spark, tmp_path):
+    """A number is taken apart once, and a table of one small file is dealt to all cores."""
+    plan = plan_of(spark.range(3).select(S.html_unescape(F.concat(F.lit("&#"), F.col("id").cast("string"))).alias("t")))
+    assert plan.count("conv(") == 1
+    spark.range(2000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["scl4_references"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    k = 1000
+    assert found.where(F.col("c_custkey") == k).first().t == chr(160 + k) + "é’&lt;A&zzz;" + chr(65536 + k)
+
+
+def test_references_as_in_the_standard_library(spark):
+    from html import unescape
+    from html.entities import html5
+
+    texts = [f"&{n}{end}" for n in html5 for end in ("", ";", "x")] + [f"&#{k};" for k in (0, 9, 65, 127, 128, 159, 55296, 64976, 1114111, 1114112, 10**12)] + ["&#x41", "&#X0000000000041;", "&#;", "&a;", "&notit;", "&"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.html_unescape("t").alias("u")).collect()
+    assert [r.t for r in rows if r.u != unescape(r.t)] == []
