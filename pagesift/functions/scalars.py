@@ -132,9 +132,12 @@ def parse_metrics(c, known: tuple[str, ...]) -> Column:
 
     Null for what is no JSON object. ``metrics_json`` of the parts gives the object back.
     """
-    entries = F.from_json(col(c), "map<string,variant>")
-    number = lambda k: F.try_variant_get(F.element_at(entries, k), "$", "double").alias(k)
-    return F.when(entries.isNotNull(), F.struct(*(number(k) for k in known), F.map_filter(entries, lambda k, _: ~k.isin(*known)).alias("other")))
+
+    def read(entries):
+        number = lambda k: F.try_variant_get(F.element_at(entries, k), "$", "double").alias(k)
+        return F.when(entries.isNotNull(), F.struct(*(number(k) for k in known), F.map_filter(entries, lambda k, _: ~k.isin(*known)).alias("other")))
+
+    return bound(F.from_json(col(c), "map<string,variant>"), read)
 
 
 def clean_filename(c) -> Column:

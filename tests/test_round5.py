@@ -42,3 +42,10 @@ def test_references_as_in_the_standard_library(spark):
     texts = [f"&{n}{end}" for n in html5 for end in ("", ";", "x")] + [f"&#{k};" for k in (0, 9, 65, 127, 128, 159, 55296, 64976, 1114111, 1114112, 10**12)] + ["&#x41", "&#X0000000000041;", "&#;", "&a;", "&notit;", "&"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.html_unescape("t").alias("u")).collect()
     assert [r.t for r in rows if r.u != unescape(r.t)] == []
+
+
+def test_json_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"a":1,"z":"y"}',), ("[1]",), (None,)], "j string")
+    parts = rows.select(S.parse_metrics("j", ("a", "b")).alias("m"))
+    assert plan_of(parts.select("m.a", "m.b", "m.other")).count("from_json(") == 1
+    assert [(r.a, r.b) for r in parts.select("m.a", "m.b").collect()] == [(1.0, None), (None, None), (None, None)]
