@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagesift.functions import scalars as S
-from pagesift.operators import dedup as D
+from pagesift.operators import dedup as D, features as FE
 from pagesift.queries import QUERIES
 
 from .test_similarity import all_pairs, frame
@@ -49,3 +49,13 @@ def test_json_is_parsed_once(spark):
     parts = rows.select(S.parse_metrics("j", ("a", "b")).alias("m"))
     assert plan_of(parts.select("m.a", "m.b", "m.other")).count("from_json(") == 1
     assert [(r.a, r.b) for r in parts.select("m.a", "m.b").collect()] == [(1.0, None), (None, None), (None, None)]
+
+
+def test_terms_are_made_once(spark):
+    """No filter before the explosion makes the lists a second time, and a task's share by key does not grow with the table."""
+    docs = spark.createDataFrame([(1, "a bb cc bb cc"), (2, None), (3, "a"), (4, "bb cc")], "page_id long, text string").repartition(3)
+    assert plan_of(FE.terms(docs)).count("regexp_extract_all(") == 1
+    assert {tuple(r) for r in FE.terms(docs).collect()} == {(1, "bb", 2), (1, "cc", 2), (1, "bb cc", 2), (1, "cc bb", 1), (4, "bb", 1), (4, "cc", 1), (4, "bb cc", 1)}
+    fitted = FE.fit_tfidf(docs)
+    assert {(r.term, r.tf, r.df) for r in fitted.vocab.collect()} == {("bb", 3, 2), ("cc", 3, 2), ("bb cc", 3, 2)}
+    assert fitted.cells(docs).rdd.getNumPartitions() == 8 * 3
