@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import scalars as S
 from pagesift.operators import dedup as D, features as FE
-from pagesift.queries import QUERIES
+from pagesift.queries import QUERIES, reports as R
 
 from .test_similarity import all_pairs, frame
 
@@ -59,3 +59,14 @@ def test_terms_are_made_once(spark):
     fitted = FE.fit_tfidf(docs)
     assert {(r.term, r.tf, r.df) for r in fitted.vocab.collect()} == {("bb", 3, 2), ("cc", 3, 2), ("bb cc", 3, 2)}
     assert fitted.cells(docs).rdd.getNumPartitions() == 8 * 3
+
+
+def test_head_rows_are_written_once(spark):
+    """A head's rows are read from files: no encoder over texts is left in their plan."""
+    seen = []
+    fit, R.M.fit_head = R.M.fit_head, lambda train, *a, **k: seen.append(train) or fit(train, *a, **k)
+    try:
+        R.mod1_logistic(spark, "/root/testdata/sf0.001")
+    finally:
+        R.M.fit_head = fit
+    assert "MapInPandas" not in plan_of(seen[0]) and seen[0].count() > 0
