@@ -20,9 +20,13 @@ RADIUS = 2
 BUCKETS = 1 << 18
 #: Rounds in which classes that share a shingle are tied to one of them, before all possible pairs left are tried.
 STARS = 4
+#: After a round that leaves more than this share of the rows of shared shingles, the rounds left are not worth their shuffles.
+WORTH = 0.95
+#: Ids of dropped documents that may be broadcast; 16 MB of them.
+GONE_ROWS = 2_000_000
 #: Bits of the parity map by which pairs of sets that differ too much are told before their shingles are read. Sets of
 #: more shingles, which fill it, have a second one that grows with them.
-MAP_BITS = 1 << 10
+MAP_BITS = 1 << 9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15
 
@@ -263,6 +267,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return good
 
 
+def _led(live: DataFrame, k: int, several: bool = False) -> DataFrame:
+    """Rows of shared shingles with ``first``, the leader of each shingle in round ``k``; ``several`` keeps shingles of two components or more.
+
+    Both come from one window, so a round shuffles these rows once. All rows of a shingle stay or go together.
+    """
+    by_gram = Window.partitionBy("g")
+    turn = F.lit(0).cast("long") if k == 0 else F.xxhash64("node", "g", F.lit(k))
+    led = live.withColumn("first", F.min(F.struct(turn.alias("turn"), "comp", "node", "n", "pos")).over(by_gram))
+    if not several:
+        return led
+    return led.withColumn("_l", F.min("comp").over(by_gram)).withColumn("_m", F.max("comp").over(by_gram)).where("_l < _m").drop("_l", "_m")
+
+
+def _enough(m: Column, i: Column, n: Column, j: Column, similarity: float) -> Column:
+    """Whether sets of ``m`` and ``n`` shingles that share one at places ``i`` and ``j`` can share enough of them.
+
+    At most so many are shared as stand before the common one in both, and after it.
+    """
+    most = F.least(i, j) + F.least(m - i, n - j)
+    return most * (1 + similarity) >= similarity * (m + n) - 1e-6
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows ``(doc_id, component_id)``, one for each doc_id: near-duplicates by shingle similarity share a component.
 
@@ -272,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     one of their rarest shingles, whose number is fixed by the size, and every pair that does is either already
     connected or verified, unless sizes or parity maps rule it out. Texts of equal words are one class. Classes that
     share a shingle are first tied to one of them, another one in each of a few rounds; then all possible pairs
-    between different components are tried, so a large group of near copies is not expanded into its pairs. Shingles are not written: texts are shingled once
+    between different components are tried, so a large group of near copies is not expanded into its pairs; rounds end early where one joined few classes. Shingles are not written: texts are shingled once
     to count, once for the prefixes, and those of candidates again to verify, and these go once a round is verified. Documents below the similarity are never joined but through others. Rows with a
     null doc_id are left out.
     """
@@ -283,28 +309,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     classes = materialize(seen.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("node")), "classes")
     maps = seen.select("row", "n", "map", "wide")
     own = lookup_join(seen.select("row", "n", "prefix"), classes.select("node"), F.col("row") == F.col("node"), max_rows=1_000_000)
-    by_gram = Window.partitionBy("g")
     each = own.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
-    live = materialize(each.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
+    live = materialize(each.withColumn("_c", F.count("*").over(Window.partitionBy("g"))).where("_c > 1").drop("_c").withColumn("comp", F.col("node")), "shared")
     good = tried = tied = None
-    for k in range(-1, STARS + 1):
+    rounds, ahead = [*range(-1, STARS + 1)], None
+    while rounds:
+        k = rounds.pop(0)
         star = k < STARS
         if k < 0:
             prints = materialize(seen.select("row", "fp").join(classes.select("node"), F.col("row") == F.col("node")).select("node", "fp"), "prints")
             pairs = fingerprint_pairs(prints)
         elif star:
             # each shingle has a leader, another one in each round; a class tries 1, 2, 4, 8 leaders of its shingles
-            turn = F.lit(0).cast("long") if k == 0 else F.xxhash64("node", "g", F.lit(k))
-            first = F.min(F.struct(turn.alias("turn"), "comp", "node")).over(by_gram)
-            met = live.withColumn("_f", first).where("comp <> _f.comp")
-            pairs = met.select(F.least("node", "_f.node").alias("a"), F.greatest("node", "_f.node").alias("b"), F.col("node").alias("from"))
+            led = live if ahead == k else _led(live.drop("first"), k)
+            one = "first."
+            met = led.where(F.col("comp") != F.col("first.comp")).where(_enough(F.col("n"), F.col("pos"), F.col(one + "n"), F.col(one + "pos"), similarity))
+            pairs = met.select(F.least("node", one + "node").alias("a"), F.greatest("node", one + "node").alias("b"), F.col("node").alias("from"))
         else:
             # sizes and maps are compared inside the join, so a frequent shingle yields no pairs but possible ones
-            mapped = live.join(maps.select(F.col("row").alias("node"), "map"), "node")
+            mapped = live.drop("first").join(maps.select(F.col("row").alias("node"), "map"), "node")
             x, y = mapped.alias("x"), mapped.alias("y")
-            # at most this many shingles are shared, by size and by what stands before and after the common one
-            most = F.expr("least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)")
-            enough = most * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
+            enough = _enough(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), similarity)
             met = F.expr("x.g = y.g AND x.node < y.node AND x.comp <> y.comp")
             pairs = x.join(y, met & enough & _fits("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.distinct()
@@ -328,10 +353,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         good = found if good is None else good.union(found)
         tied = connected_components(good, "a", "b")
         if star:
-            renamed = live.drop("comp").join(tied, "node", "left")
+            renamed = live.drop("comp", "first").join(tied, "node", "left")
             renamed = renamed.withColumn("comp", F.coalesce("component", "node")).drop("component")
-            several = renamed.withColumn("_l", F.min("comp").over(by_gram)).withColumn("_m", F.max("comp").over(by_gram))
-            earlier, live = live, materialize(several.where("_l < _m").drop("_l", "_m"), "shared")
+            ahead = k + 1
+            earlier, live = live, materialize(_led(renamed, ahead, several=True), "shared")
+            if k >= 0 and live.count() > WORTH * earlier.count():
+                rounds = [STARS]
             discard(earlier)
     named = classes.join(tied, "node", "left") if tied is not None else classes.withColumn("component", F.col("node"))
     named = materialize(named.select("key", "rep", F.coalesce("component", "node").alias("component")), "named")
@@ -349,5 +376,5 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Rows with a null doc_id are kept; repeated rows of a kept doc_id all stay, as they cannot be told apart by id.
     """
     found = near_duplicates(docs.select("doc_id", "text"), width, similarity)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    return lookup_join(docs, gone, "doc_id", "left_anti", max_rows=GONE_ROWS).select(*docs.columns)  # texts stay where they are

@@ -69,3 +69,26 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, frame, str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {4 * g for g in range(6)} | set(range(24, 36))
+
+
+def test_near_dedup_leaves_texts_where_they_are(spark):
+    """Dropped ids beyond Spark's own bound for broadcasts are broadcast all the same, so that no text is shuffled."""
+    from pagesift.llm import simhash
+    from pagesift.plans.storage import settings
+
+    frame = docs(spark, [prose(70, i // 2) for i in range(20)])
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        left = simhash.deduplicate(frame, width=5)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in left.collect()} == set(range(0, 20, 2))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_leaders_and_live_shingles_come_from_one_window(spark):
+    from pagesift.llm import simhash
+
+    rows = [(1, 9, 0, 7, 1), (2, 9, 3, 7, 1), (3, 9, 2, 7, 3), (4, 9, 0, 8, 4), (5, 9, 1, 8, 4)]  # shingle 8 has one component left
+    live = spark.createDataFrame(rows, "node long, n int, pos int, g int, comp long")
+    led = simhash._led(live, 0, several=True)
+    assert led._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.node, r.first.node, r.first.n, r.first.pos) for r in led.collect()} == {(1, 1, 9, 0), (2, 1, 9, 0), (3, 1, 9, 0)}
