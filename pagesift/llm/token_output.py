@@ -247,7 +247,11 @@ def crc32(ids):
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``docs``, read the files back; one row for each written row: doc_id, start, n_tokens, ids_crc32."""
+    """Write ``docs``, read the files back; one row for each written row: doc_id, start, n_tokens, ids_crc32.
+
+    These rows are written too, so that the ids meet Python in batches of bounded rows, whoever reads the result.
+    """
     path = path or scratch_path(docs.sparkSession, "token-ids")
     write(docs, path)
-    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    counted = read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    return materialize(counted, "token-counts", batch=ROWS)
