@@ -6,7 +6,7 @@ meet on such a word are compared by length, by the words' places and by a 64-bit
 of which only drop pairs that cannot be similar; what is left is verified on the words themselves. A line is
 removed if an earlier line is equal or similar to it.
 
-Near copies are not compared pair by pair. A line joins the group of one line that it is similar to, its pivot; within
+Near copies are not compared pair by pair. A line joins the group of one line that it is like, its pivot; within
 a group two lines differ in the words in which exactly one of them differs from the pivot. So links between lines that are
 near enough to the pivot are counted from a histogram of the group, and others need a common change; see ``grouped``.
 
@@ -99,20 +99,18 @@ def representatives(cut: DataFrame, table: bytes) -> DataFrame:
 
 
 def pivots(reps: DataFrame) -> DataFrame:
-    """For lines that may be similar to the first line with one of their prefix's words: ``d, l`` and that line ``gd, gl``.
+    """For lines that may be like the first line with many of their prefix's words: ``d, l`` and that line ``gd, gl``.
 
-    Of several such lines the one that leads most words of the line's prefix is taken. A word's first line comes from an
-    aggregate that combines before its shuffle, and each line has one row at most.
+    It must lead a third of the words of the line's prefix; of several such lines the one that leads most is taken. A
+    word's first line comes from an aggregate that combines before its shuffle, and each line has one row at most. Which
+    lines are tied changes the work, not the result.
     """
-    met = reps.select("doc_id", "line_no", "n", "map", "wide", F.explode("prefix").alias("word"))
-    first = met.groupBy("word").agg(F.min(F.struct("doc_id", "line_no", "n", "map", "wide")).alias("p"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    need = "((4 * (n + p.n) + 8) div 9)"
-    possible = F.expr(
-        f"""(doc_id <> p.doc_id OR line_no <> p.line_no) AND 4 * n <= 5 * p.n AND 4 * p.n <= 5 * n
-        AND bit_count(map ^ p.map) <= n + p.n - 2 * {need} AND (least(n, p.n) <= {FULL} OR bit_count(wide ^ p.wide) <= n + p.n - 2 * {need})"""
-    )
-    tried = met.join(first, "word").where(possible).groupBy("doc_id", "line_no", F.col("p.doc_id").alias("gd"), F.col("p.line_no").alias("gl")).agg(F.count("*").alias("c"))
-    best = tried.groupBy("doc_id", "line_no").agg(F.max(F.struct("c", -F.col("gd"), -F.col("gl"), "gd", "gl")).alias("b"))
+    met = reps.select("doc_id", "line_no", "n", F.size("prefix").alias("k"), F.explode("prefix").alias("word"))
+    first = met.groupBy("word").agg(F.min(F.struct("doc_id", "line_no", "n")).alias("p"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    possible = F.expr("(doc_id <> p.doc_id OR line_no <> p.line_no) AND 4 * n <= 5 * p.n AND 4 * p.n <= 5 * n")
+    tried = met.join(first, "word").where(possible).groupBy("doc_id", "line_no", F.col("p.doc_id").alias("gd"), F.col("p.line_no").alias("gl"))
+    often = tried.agg(F.count("*").alias("c"), F.first("k").alias("k")).where("3 * c >= k")
+    best = often.groupBy("doc_id", "line_no").agg(F.max(F.struct("c", -F.col("gd"), -F.col("gl"), "gd", "gl")).alias("b"))
     return best.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "b.gd", "b.gl")
 
 
@@ -128,7 +126,9 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Lines with a similar pivot, and these pivots: ``d, l, gd, gl, changes`` (hashes of the words in which the two differ), ``s``.
+    """Lines with a pivot, and these pivots: ``d, l, gd, gl, changes`` (hashes of the words in which the two differ), ``s``.
+
+    A line may differ from its pivot in twice as many words as similar lines do: what holds in a group holds for any pivot.
 
     ``s`` is 9 times their number less the line's words, so that two lines whose sets differ in x words are similar if
     9 x is no more than their words together. A pivot that has one itself stays with that.
@@ -139,8 +139,8 @@ def members(docs: DataFrame, reps: DataFrame) -> DataFrame:
     two = words.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gl"), F.col("words").alias("w2"))
     changes = F.concat(F.array_except("w1", "w2"), F.array_except("w2", "w1"))
     both = tied.join(one, ["d", "l"]).join(two, ["gd", "gl"])
-    near = both.where(9 * F.size(F.array_intersect("w1", "w2")) >= 4 * (F.size("w1") + F.size("w2")))
-    near = near.select("d", "l", "gd", "gl", F.sort_array(changes).alias("changes"), (9 * F.size(changes) - F.size("w1")).alias("s"))
+    told = both.select("d", "l", "gd", "gl", F.sort_array(changes).alias("changes"), F.size("w1").alias("n"), F.size("w2").alias("m"))
+    near = told.where(9 * F.size("changes") <= 2 * (F.col("n") + F.col("m"))).select("d", "l", "gd", "gl", "changes", (9 * F.size("changes") - F.col("n")).alias("s"))
     near = materialize(near, "near")
     heads = near.select("gd", "gl").distinct().join(near.select(F.col("d").alias("gd"), F.col("l").alias("gl")), ["gd", "gl"], "left_anti")
     sized = heads.join(reps.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gl"), "n"), ["gd", "gl"])
